@@ -123,7 +123,8 @@ def with_percentiles_by_window(
         known = F.count(c).over(Window.partitionBy())
         df = df.withColumn(new, F.when(F.col(c).isNotNull(), place / known))
     for c, new in (descending or {}).items():
-        df = df.withColumn(new, F.rank().over(Window.orderBy(F.col(c).desc_nulls_last())))
+        df = df.withColumn(
+            new, F.rank().over(Window.orderBy(F.col(c).desc_nulls_last())).cast("long"))
     return df
 
 

@@ -21,7 +21,8 @@ def clean_stream(spark: SparkSession, landing_path: str, table: str, checkpoint:
     failure replaces its rows instead of adding them again.  Files without valid rows are
     remembered too and not read again.
     """
-    reader = spark.readStream.format("binaryFile")
+    reader = spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length bigint, content binary")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     arrivals = reader.load(landing_path).select("path").where("lower(path) rlike '[.](xlsx|csv)$'")

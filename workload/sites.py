@@ -10,7 +10,7 @@ from demandgauge.operators import profiles as V, sites as S
 from . import inputs as I
 from .pressure import FULL_INDEX_SQL, index
 
-AREA = "G"
+AREA = "DG"
 
 # Sites, over the CTE `idx`.
 SITES_SQL = """
