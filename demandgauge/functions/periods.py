@@ -19,8 +19,11 @@ _SESSION_TEXT = r"^(\w+)\s+sessions?(\s+download)?$"
 
 def period(year: Column, month: Column) -> Column:
     """(year, month) when both are known."""
-    return F.when(year.isNotNull() & month.isNotNull(),
-                  F.struct(year.cast("int").alias("year"), month.cast("int").alias("month")))
+    return F.when(year.isNotNull() & month.isNotNull(), _pair(year, month))
+
+
+def _pair(year: Column, month: Column) -> Column:
+    return F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"))
 
 
 def is_session_link(href: Column, text: Column) -> Column:
@@ -35,17 +38,18 @@ def filename_period(name: Column) -> Column:
     upper = F.upper(name)
 
     def found(pattern: str) -> Column:
-        month = lookup(F.lower(F.regexp_extract(upper, pattern, 1)), K.MONTHS)
         digits = F.regexp_extract(upper, pattern, 2).try_cast("int")
-        return period(F.when(digits < 100, digits + 2000).otherwise(digits), month)
+        year = digits + F.when(digits < 100, 2000).otherwise(0)
+        month = lookup(F.lower(F.regexp_extract(upper, pattern, 1)), K.MONTHS)
+        return F.when(upper.rlike(pattern), _pair(year, month))
 
     return F.coalesce(found(_DASHED), found(_FULL_YEAR))
 
 
 def upload_period(url: Column) -> Column:
     """Year and month of the ``/uploads/YYYY/MM/`` part."""
-    return period(F.regexp_extract(url, _UPLOAD, 1).try_cast("int"),
-                  F.regexp_extract(url, _UPLOAD, 2).try_cast("int"))
+    return F.when(url.rlike(_UPLOAD), _pair(
+        F.regexp_extract(url, _UPLOAD, 1).try_cast("int"), F.regexp_extract(url, _UPLOAD, 2).try_cast("int")))
 
 
 def infer_year(month: Column, upload: Column) -> Column:
@@ -65,17 +69,17 @@ def month_in_name(name: Column) -> Column:
     return F.coalesce(*[F.when(upper.contains(m.upper()), F.lit(n)) for m, n in K.MONTHS.items()])
 
 
-def resolve_period(href: Column, text: Column, heading_year: Column) -> Column:
+def resolve_period(named: Column, upload: Column, text_month: Column, name_month: Column,
+                   heading_year: Column) -> Column:
     """(1) file name, corrected by the upload path; (2) link text and heading; (3) any month
-    and the upload path.  NULL when nothing fits."""
-    name = basename(href)
-    named, upload = filename_period(name), upload_period(href)
-    corrected = F.when(upload.isNull(), named).otherwise(
-        period(infer_year(named["month"], upload), named["month"]))
-    text_month = month_from_text(text)
-    any_month = F.coalesce(text_month, month_in_name(name))
+    and the upload path.  NULL when nothing fits.
+
+    The arguments should be columns of an earlier step, so that each pattern is tried once.
+    """
+    any_month = F.coalesce(text_month, name_month)
     return F.coalesce(
-        F.when(named.isNotNull(), corrected),
+        F.when(named.isNotNull() & upload.isNull(), named),
+        F.when(named.isNotNull(), _pair(infer_year(named["month"], upload), named["month"])),
         period(heading_year, text_month),
-        F.when(upload.isNotNull(), period(infer_year(any_month, upload), any_month)),
+        F.when(upload.isNotNull() & any_month.isNotNull(), _pair(infer_year(any_month, upload), any_month)),
     )

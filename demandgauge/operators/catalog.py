@@ -7,8 +7,11 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
-from ..functions.periods import is_session_link, resolve_period
+from ..functions.periods import (
+    filename_period, is_session_link, month_from_text, month_in_name, resolve_period, upload_period,
+)
 from ..functions.text import basename, strip
+from ..session import materialise
 
 _HEADING = r"(?is)<h([2-4])\b[^>]*>(.*?)</h\1\s*>"
 _LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
@@ -68,10 +71,15 @@ def session_links(links: DataFrame) -> DataFrame:
 
 def resolve_links(links: DataFrame) -> DataFrame:
     """Session links with their year and month; links without a period drop."""
-    resolved = links.withColumn(
-        "period", resolve_period(F.col("href"), F.col("text"), F.col("heading_year")))
+    href, text, name = F.col("href"), F.col("text"), F.col("_name")
+    read = links.withColumn("_name", basename(href)).withColumns({
+        "_named": filename_period(name), "_upload": upload_period(href),
+        "_text_month": month_from_text(text), "_name_month": month_in_name(name),
+    })
+    resolved = read.withColumn("period", resolve_period(
+        *[F.col(c) for c in ("_named", "_upload", "_text_month", "_name_month", "heading_year")]))
     return resolved.where(F.col("period").isNotNull()).select(
-        *[c for c in links.columns], "period.year", "period.month")
+        *links.columns, "period.year", "period.month")
 
 
 def pick_preferred(links: DataFrame, keywords: list[str] | None = None,
@@ -82,7 +90,7 @@ def pick_preferred(links: DataFrame, keywords: list[str] | None = None,
     the current one's name lacks.  With two keywords this order-dependent rule has a closed
     form, so no group is ever collected: the first file with both keywords wins; else, with
     one keyword each, the first file of the last-seen kind after the last one of the other
-    kind; else the first file of all.
+    kind; else the first file of all.  The links are read twice, so they are written once.
     """
     words = K.PREFERRED_KEYWORDS if keywords is None else keywords
     if not 1 <= len(words) <= 2:
@@ -91,7 +99,7 @@ def pick_preferred(links: DataFrame, keywords: list[str] | None = None,
     name = F.upper(basename(F.col("href")))
     has = [name.contains(w) for w in words] + [F.lit(False)] * (2 - len(words))
     kind = F.when(has[0] & has[1], "both").when(has[0], "one").when(has[1], "two").otherwise("none")
-    ranked = links.withColumn("kind", kind)
+    ranked = materialise(links.select(*by, "pos", "href", kind.alias("kind")), "links")
     pos = F.col("pos")
 
     def of(k: str) -> Column:
