@@ -7,8 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def to_double(c: Column) -> Column:
     """Number or NULL; NaN counts as missing so that it cannot poison sums."""
-    number = c.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def ratio_or_null(n: Column, d: Column) -> Column:

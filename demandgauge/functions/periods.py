@@ -64,9 +64,12 @@ def month_from_text(text: Column) -> Column:
 
 
 def month_in_name(name: Column) -> Column:
-    """First month name contained in a file name, tried in the order of the list."""
-    upper = F.upper(name)
-    return F.coalesce(*[F.when(upper.contains(m.upper()), F.lit(n)) for m, n in K.MONTHS.items()])
+    """Earliest month of the year whose name occurs in a file name.
+
+    Every full name contains its three-letter form, so one pattern finds them all.
+    """
+    found = F.regexp_extract_all(F.lower(name), F.lit("(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"))
+    return F.array_min(F.transform(found, lambda m: lookup(m, K.MONTHS)))
 
 
 def resolve_period(named: Column, upload: Column, text_month: Column, name_month: Column,

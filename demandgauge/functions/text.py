@@ -7,6 +7,13 @@ from pyspark.sql import Column, functions as F
 from ..constants import CONNECTOR_TYPES, MISSING_IDS, POWER_TYPES
 
 
+# All characters that count as white space.
+_WHITE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
     """Value of ``key`` in a small literal table, else ``default`` (NULL when not given)."""
     pairs = F.create_map(*[F.lit(x) for item in table.items() for x in item])
@@ -16,7 +23,7 @@ def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim any white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def clean_id(c: Column) -> Column:
@@ -32,13 +39,11 @@ def is_missing_id(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Upper-case every letter that follows a non-letter, lower-case the rest.
 
-    Each run of letters is capitalised on its own, so ``st john's`` becomes
-    ``St John'S``, unlike ``initcap`` over the whole text.
+    ``initcap`` alone starts words at blanks only.  A marked blank is put behind every other
+    non-letter and taken out again, so ``st john's`` becomes ``St John'S``.
     """
-    runs = F.regexp_extract_all(
-        c, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0)
-    )
-    return F.when(c.isNotNull(), F.array_join(F.transform(runs, F.initcap), ""))
+    split = F.regexp_replace(c, r"([^\p{Lu}\p{Ll}\p{Lt} ])(?=[\p{Lu}\p{Ll}\p{Lt}])", "$1\u0001 ")
+    return F.replace(F.initcap(split), F.lit("\u0001 "), F.lit(""))
 
 
 def site_title(c: Column) -> Column:

@@ -7,9 +7,10 @@ from pyspark.sql import Column, functions as F
 from .numbers import to_double
 from .text import strip
 
-_DAY_FIRST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})(?=\D|$)"
+_DAY_FIRST = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})(?=\D|$)[T ]*"
+_SHORT_YEAR = r"^(\d+/\d+/)(\d\d)(?!\d)"
 _YEAR_FIRST = r"^\d{4}-\d{1,2}-\d{1,2}"
-_CLOCK = r"^(?:(\d+) days?,? )?(\d+):(\d{1,2}):(\d{1,2}(?:\.\d+)?)$"
+_CLOCK = r"^(?:\d+ days?,? )?\d+:\d{1,2}:\d{1,2}(?:\.\d+)?$"
 
 
 def parse_uk_timestamp(c: Column) -> Column:
@@ -18,23 +19,10 @@ def parse_uk_timestamp(c: Column) -> Column:
     Year-first text is never read day-first, so ``2024-03-04`` is 4 March.
     """
     text = strip(c.cast("string"))
-    year = F.regexp_extract(text, _DAY_FIRST, 3)
-    slashed = F.concat(
-        F.regexp_extract(text, _DAY_FIRST, 1), F.lit("/"),
-        F.regexp_extract(text, _DAY_FIRST, 2), F.lit("/"),
-        F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year),
-        F.regexp_replace(F.regexp_replace(text, _DAY_FIRST, ""), r"^[T ]+", " "),
-    )
-    return (
-        F.when(
-            text.rlike(_DAY_FIRST),
-            F.coalesce(
-                F.try_to_timestamp(slashed, F.lit("d/M/yyyy[ H:mm[:ss]]")),
-                F.try_to_timestamp(slashed, F.lit("d/M/yyyy H:mm:ss[.SSSSSS][.SSS][.S]")),
-            ),
-        )
-        .when(text.rlike(_YEAR_FIRST), text.try_cast("timestamp"))
-    )
+    slashed = F.rtrim(F.regexp_replace(text, _DAY_FIRST, "$1/$2/$3 "))
+    full_year = F.regexp_replace(slashed, _SHORT_YEAR, "$120$2")
+    return F.when(text.rlike(_YEAR_FIRST), text.try_cast("timestamp")).otherwise(
+        F.try_to_timestamp(full_year, F.lit("d/M/yyyy[ H:mm[:ss[.SSSSSS]]]")))
 
 
 def duration_minutes(c: Column) -> Column:
@@ -44,10 +32,10 @@ def duration_minutes(c: Column) -> Column:
     """
     text = strip(c.cast("string"))
 
-    def part(i: int) -> Column:
-        return F.coalesce(F.regexp_extract(text, _CLOCK, i).try_cast("double"), F.lit(0.0))
-
-    seconds = part(1) * 86400 + part(2) * 3600 + part(3) * 60 + part(4)
+    clock = F.split(F.substring_index(text, " ", -1), ":")
+    days = F.when(text.contains("day"), F.substring_index(text, " ", 1).cast("double")).otherwise(0.0)
+    seconds = (
+        days * 86400 + clock[0].cast("double") * 3600 + clock[1].cast("double") * 60 + clock[2].cast("double"))
     return F.coalesce(to_double(text), F.when(text.rlike(_CLOCK), seconds)) / 60
 
 

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
+from ..functions.frames import computed_once
 from ..functions.periods import (
     filename_period, is_session_link, month_from_text, month_in_name, resolve_period, upload_period,
 )
@@ -58,10 +59,9 @@ def extract_links(pages: DataFrame) -> DataFrame:
     )
     href = F.concat(*[F.regexp_extract("link", _LINK, i) for i in (1, 2, 3)])
     text = F.regexp_replace(F.regexp_extract("link", _LINK, 4), _TAGS, "")
-    return links.select(
-        "page_id", F.struct("section_no", "link_no").alias("pos"), _unescape(href).alias("href"),
-        F.lower(strip(_unescape(text))).alias("text"), "heading_year",
-    )
+    read = computed_once(links, {"href": _unescape(href), "text": F.lower(strip(_unescape(text)))})
+    return read.select(
+        "page_id", F.struct("section_no", "link_no").alias("pos"), "href", "text", "heading_year")
 
 
 def session_links(links: DataFrame) -> DataFrame:
@@ -72,14 +72,14 @@ def session_links(links: DataFrame) -> DataFrame:
 def resolve_links(links: DataFrame) -> DataFrame:
     """Session links with their year and month; links without a period drop."""
     href, text, name = F.col("href"), F.col("text"), F.col("_name")
-    read = links.withColumn("_name", basename(href)).withColumns({
+    read = computed_once(links.withColumn("_name", basename(href)), {
         "_named": filename_period(name), "_upload": upload_period(href),
         "_text_month": month_from_text(text), "_name_month": month_in_name(name),
     })
-    resolved = read.withColumn("period", resolve_period(
-        *[F.col(c) for c in ("_named", "_upload", "_text_month", "_name_month", "heading_year")]))
-    return resolved.where(F.col("period").isNotNull()).select(
-        *links.columns, "period.year", "period.month")
+    resolved = computed_once(read, {"_period": resolve_period(
+        *[F.col(c) for c in ("_named", "_upload", "_text_month", "_name_month", "heading_year")])})
+    return resolved.where(F.col("_period").isNotNull()).select(
+        *links.columns, "_period.year", "_period.month")
 
 
 def pick_preferred(links: DataFrame, keywords: list[str] | None = None,

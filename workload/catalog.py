@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from demandgauge import constants as K
 from demandgauge.functions import periods as Pd
+from demandgauge.functions.frames import computed_once
 from demandgauge.functions.text import basename
 from demandgauge.operators import catalog as B
 from demandgauge.operators.metrics import harvest_alerts
@@ -38,10 +39,10 @@ def links(spark, d) -> DataFrame:
         .when(k % 5 == 1, F.concat(word, F.lit(" session download")))
         .when(k % 5 == 2, word).when(k % 5 == 3, "sessions").otherwise("annual report")
     )
-    return I.table(spark, d, "orders").select(
-        (F.col("o_custkey") % 20).alias("page_id"), k.alias("pos"), F.concat(folder, name).alias("href"),
-        text.alias("text"), F.when(k % 3 == 0, F.year(when)).cast("int").alias("heading_year"),
-    )
+    return computed_once(I.table(spark, d, "orders"), {
+        "page_id": F.col("o_custkey") % 20, "pos": k, "href": F.concat(folder, name), "text": text,
+        "heading_year": F.when(k % 3 == 0, F.year(when)).cast("int"),
+    }).select("page_id", "pos", "href", "text", "heading_year")
 
 
 _PAT = "(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*"
@@ -131,9 +132,9 @@ def upload_period(spark, d):
 
 
 def infer_year(spark, d):
-    l = links(spark, d).withColumn("upload", Pd.upload_period(F.col("href"))).withColumn(
-        "month", Pd.month_in_name(basename(F.col("href")))).where("upload IS NOT NULL AND month IS NOT NULL")
-    return l.select("pos", Pd.infer_year(F.col("month"), F.col("upload")).alias("year"))
+    read = computed_once(links(spark, d), {
+        "upload": Pd.upload_period(F.col("href")), "month": Pd.month_in_name(basename(F.col("href")))})
+    return read.where("upload IS NOT NULL AND month IS NOT NULL").select("pos", Pd.infer_year(F.col("month"), F.col("upload")).alias("year"))
 
 
 def text_month(spark, d):
