@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K, schemas
 from ..functions.numbers import to_double
 from ..functions.text import lookup, power_type
+from ..session import materialise
 from .cleaning import conform, dedup_first, enforce_not_null
 
 
@@ -122,7 +123,10 @@ def with_feed_lineage(rows: DataFrame, snapshot_name: str, now: Column | None =
 
 def charge_points(locs: DataFrame, snapshot_name: str, now: Column | None = None,
                   postcodes=None, coordinates=None) -> DataFrame:
-    """The connector table of a snapshot."""
-    rows = with_n_connectors(dedup_connectors(flatten_connectors(locs)))
+    """The connector table of a snapshot.
+
+    Counting connectors reads the deduplicated rows twice, so they are written once.
+    """
+    rows = with_n_connectors(materialise(dedup_connectors(flatten_connectors(locs)), "connectors"))
     stamped = apply_overrides(with_feed_lineage(rows, snapshot_name, now), postcodes, coordinates)
     return conform(enforce_not_null(stamped, schemas.CHARGE_POINTS), schemas.CHARGE_POINTS)

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
+
 ONE_TASK_ROWS = 1_000_000
 _COARSE = float(2 ** 10)
 _FINE = float(2 ** 31)
@@ -37,15 +39,14 @@ def value_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     Ascending order, NULL before everything else.
     """
     value = F.col("value")
-    sign = F.coalesce(F.signum(value), F.lit(-2.0))
-    magnitude = F.when(value.isNull() | (value == 0), F.lit(0.0)).otherwise(
-        F.signum(value) * F.ln(F.abs(value))
-    )
+    magnitude = F.when(value > 0, F.ln(value)).when(value < 0, -F.ln(-value))
+    # The keys are never NULL, so joining on them adds no filters: all three levels read the
+    # value counts through one and the same shuffle.
     values = value_counts(df, columns).select(
         "metric", "value", "n_equal",
-        sign.cast("int").alias("sign"),
-        F.floor(magnitude * _COARSE).cast("long").alias("coarse"),
-        F.floor(magnitude * _FINE).cast("long").alias("fine"),
+        F.when(value.isNull(), -2).when(value < 0, -1).when(value > 0, 1).otherwise(0).alias("sign"),
+        F.coalesce(F.floor(magnitude * _COARSE), F.lit(0)).alias("coarse"),
+        F.coalesce(F.floor(magnitude * _FINE), F.lit(0)).alias("fine"),
     )
     top, mid = ["metric", "sign", "coarse"], ["metric", "sign", "coarse", "fine"]
 
@@ -89,12 +90,14 @@ def with_percentiles(
     ``cume``: rows up to and including ties / all rows, NULL first (E16).
     ``average``: average rank of ties / non-NULL rows, NULL for NULL (F3).
     ``descending``: 1 + rows with a larger value (E18, F4).
+
+    The ranks of the distinct values are written once; each column joins its part of them.
     """
     wanted = [(c, new, _cume) for c, new in (cume or {}).items()]
     wanted += [(c, new, _average) for c, new in (average or {}).items()]
     wanted += [(c, new, _descending) for c, new in (descending or {}).items()]
     columns = list(dict.fromkeys(c for c, _, _ in wanted))
-    ranks = value_ranks(df, columns)
+    ranks = materialise(value_ranks(df, columns), "value_ranks")
     out = df
     for c in columns:
         mine = ranks.where(F.col("metric") == c).select(

@@ -22,13 +22,16 @@ _DAY = 86400
 def concurrency_changes(sessions: DataFrame) -> DataFrame:
     """(cp_id, day, second, change): net change of running sessions in each second."""
     start, end = F.unix_seconds("start_time"), F.unix_seconds("end_time")
-    return (
-        sessions.where(start.isNotNull() & end.isNotNull())
-        .select("cp_id", F.explode(F.array(
+    steps = sessions.where(start.isNotNull() & end.isNotNull()).select(
+        "cp_id", F.explode(F.array(
             F.struct(start.alias("second"), F.lit(1).alias("step")),
             F.struct(end.alias("second"), F.lit(-1).alias("step")),
         )).alias("e"))
-        .select("cp_id", F.expr("e.second div %d" % _DAY).alias("day"), "e.second", "e.step")
+    # The NULL filter is stated here so that a join on these columns adds none of its own:
+    # both readers of the changes then have the same plan and share one scan and shuffle.
+    return (
+        steps.select("cp_id", F.expr("e.second div %d" % _DAY).alias("day"), "e.second", "e.step")
+        .where(F.col("cp_id").isNotNull() & F.col("day").isNotNull())
         .groupBy("cp_id", "day", "second")
         .agg(F.sum("step").alias("change"))
     )

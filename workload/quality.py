@@ -8,6 +8,7 @@ from demandgauge import constants as K
 from demandgauge.operators import quality as G, review as R, spatial
 from demandgauge.operators.pressure import cp_reference
 from demandgauge.plans.quality_run import judge_points
+from demandgauge.session import materialise
 from demandgauge.sources.tables import require_nonempty
 
 from . import inputs as I
@@ -186,7 +187,8 @@ def _now():
 
 
 def merged(spark, d) -> DataFrame:
-    return G.merge_findings(register(spark, d), findings(spark, d), _now())
+    """The register after a run, written as a new version."""
+    return materialise(G.merge_findings(register(spark, d), findings(spark, d), _now()), "register")
 
 
 def _stamps(*columns: str):
@@ -211,15 +213,16 @@ def pending_review(spark, d):
         "cp_id", R.json_field(F.col("details"), "verdict").alias("verdict"), "latitude", "longitude")
 
 
-def asked(spark, d) -> DataFrame:
-    return R.with_question(R.pending_review(merged(spark, d), I.connectors(spark, d)))
+def asked(spark, d, version: DataFrame | None = None) -> DataFrame:
+    stored = merged(spark, d) if version is None else version
+    return R.with_question(R.pending_review(stored, I.connectors(spark, d)))
 
 
 def collapse_questions(spark, d):
     return R.distinct_questions(asked(spark, d)).select("question_id", "question")
 
 
-def answers(spark, d) -> DataFrame:
+def answers(questions: DataFrame) -> DataFrame:
     """Written answers to the questions: JSON inside prose, some empty, some broken."""
     n = F.length("question")
     postcode = F.when(n % 5 != 0, F.regexp_extract("question", "Postcode at the coordinates: ([A-Z0-9 ]+)", 1)).otherwise("")
@@ -227,7 +230,7 @@ def answers(spark, d) -> DataFrame:
         F.lit('{"issue": "wrong \\"area\\"", "correct_postcode": "'), postcode,
         F.lit('", "postcode_wrong": '), F.when(n % 2 == 0, "true").otherwise("false"),
         F.lit(', "coords_wrong": '), F.when(n % 3 == 0, "true").otherwise("false"), F.lit(', "description": null}')))
-    text = R.distinct_questions(asked(spark, d)).select(
+    text = R.distinct_questions(questions).select(
         "question_id", F.concat(F.lit("Sure: "), body, F.lit(" done")).alias("text"),
         F.substring("question_id", 1, 8).alias("request_id"))
     return R.extract_json(text)
@@ -237,8 +240,9 @@ _MERGED_FIELDS = ["verdict", "issue", "correct_postcode", "postcode_wrong", "coo
                   "suggested_postcode", "suggested_latitude", "suggested_longitude"]
 
 
-def suggestions(spark, d) -> DataFrame:
-    return R.merge_suggestions(asked(spark, d), answers(spark, d), references(spark, d), "assistant-1")
+def suggestions(spark, d, version: DataFrame | None = None) -> DataFrame:
+    questions = materialise(asked(spark, d, version), "questions")
+    return R.merge_suggestions(questions, answers(questions), references(spark, d), "assistant-1")
 
 
 def merge_suggestions(spark, d):
@@ -248,7 +252,8 @@ def merge_suggestions(spark, d):
 
 
 def review_queue(spark, d):
-    reviewed = R.apply_suggestions(merged(spark, d), suggestions(spark, d))
+    version = merged(spark, d)
+    reviewed = R.apply_suggestions(version, suggestions(spark, d, version))
     return R.review_queue(reviewed).select("cp_id", "message", "verdict", "coord_postcode", "suggested_postcode", "description")
 
 
