@@ -97,7 +97,7 @@ def with_percentiles(
     wanted += [(c, new, _average) for c, new in (average or {}).items()]
     wanted += [(c, new, _descending) for c, new in (descending or {}).items()]
     columns = list(dict.fromkeys(c for c, _, _ in wanted))
-    ranks = materialise(value_ranks(df, columns), "value_ranks")
+    ranks = materialise(value_ranks(df, columns), "value_ranks", by="metric")
     out = df
     for c in columns:
         mine = ranks.where(F.col("metric") == c).select(

@@ -6,10 +6,12 @@ A sweep over start and end events, made of aggregates and bounded windows:
 2. changes are summed per (point, second) before any ordering, so the order of ties
    does not matter and a busy second is one row however many sessions share it;
 3. per (point, day) the net change is carried to later days by a running sum over days;
-4. inside one (point, day), at most 86,400 rows, a running sum gives the concurrency.
+4. every day gets a row that opens it with the carried concurrency and one that closes it
+   where the next day with changes begins; inside one (point, day), at most 86,402 rows, a
+   running sum then gives the concurrency and the next row ends each stretch.
 
 No window partition grows with the number of sessions, so one point may hold any share
-of the data; sessions that last for days are not multiplied.
+of the data; sessions that last for days are not multiplied, and nothing is joined.
 """
 
 from __future__ import annotations
@@ -27,37 +29,37 @@ def concurrency_changes(sessions: DataFrame) -> DataFrame:
             F.struct(start.alias("second"), F.lit(1).alias("step")),
             F.struct(end.alias("second"), F.lit(-1).alias("step")),
         )).alias("e"))
-    # The NULL filter is stated here so that a join on these columns adds none of its own:
-    # both readers of the changes then have the same plan and share one scan and shuffle.
     return (
         steps.select("cp_id", F.expr("e.second div %d" % _DAY).alias("day"), "e.second", "e.step")
-        .where(F.col("cp_id").isNotNull() & F.col("day").isNotNull())
         .groupBy("cp_id", "day", "second")
         .agg(F.sum("step").alias("change"))
     )
 
 
 def concurrency_levels(sessions: DataFrame) -> DataFrame:
-    """(cp_id, second, running, seconds): concurrency after each change and how long it lasts."""
+    """(cp_id, running, seconds): concurrency after each change and how long it lasts."""
     changes = concurrency_changes(sessions)
     over_days = Window.partitionBy("cp_id").orderBy("day")
+    carried = F.coalesce(
+        F.sum("net").over(over_days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     days = (
         changes.groupBy("cp_id", "day")
         .agg(F.sum("change").alias("net"), F.min("second").alias("first_second"))
         .select(
             "cp_id", "day",
-            F.coalesce(
-                F.sum("net").over(over_days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("carried"),
-            F.lead("first_second").over(over_days).alias("next_day_second"),
+            F.struct(F.col("first_second").alias("second"), carried.alias("change")).alias("opening"),
+            F.struct(F.lead("first_second").over(over_days).alias("second"),
+                     F.lit(0).cast("long").alias("change")).alias("closing"),
         )
+        .select("cp_id", "day", F.inline(F.array("opening", "closing")))
+        .where(F.col("second").isNotNull())
     )
+    # Rows of one second share their running sum (range frame) and add zero-length stretches.
     in_day = Window.partitionBy("cp_id", "day").orderBy("second")
-    following = F.coalesce(F.lead("second").over(in_day), F.col("next_day_second"))
-    return changes.join(days, ["cp_id", "day"]).select(
-        "cp_id", "second",
-        (F.col("carried") + F.sum("change").over(in_day)).alias("running"),
-        F.coalesce(following - F.col("second"), F.lit(0)).alias("seconds"),
+    return changes.unionByName(days).select(
+        "cp_id",
+        F.sum("change").over(in_day).alias("running"),
+        F.coalesce(F.lead("second").over(in_day) - F.col("second"), F.lit(0)).alias("seconds"),
     )
 
 

@@ -42,13 +42,15 @@ def working_folder(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
     Used where several branches read the same expensive result: the files survive
     the loss of executors, allow column pruning per branch, and carry sizes from
-    which Spark decides about broadcasting.
+    which Spark decides about broadcasting.  ``by`` names a column with few values on which
+    the branches filter.
     """
     path = os.path.join(working_folder(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from demandgauge.functions.frames import computed_once
+
 AREA_CODES = [
     "AB", "DD", "DG", "EH", "FK", "G", "HS", "IV", "KA", "KW", "KY", "ML", "PA", "PH", "TD", "ZE",
     "M",
@@ -24,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- events as sessions
 
+def kwh_of_props():
+    return F.get_json_object("props", "$.k").cast("double")
+
+
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as sessions, valid or not."""
     start = F.col("ts").cast("timestamp")
@@ -34,11 +40,12 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.alias("start_time"),
         F.when(F.col("event_id") % 10 != 0, end).alias("end_time"),
         F.col("value").alias("duration_minutes"),
-        F.get_json_object("props", "$.k").cast("double").alias("consumption_kwh"),
+        kwh_of_props().alias("consumption_kwh"),
         F.when(F.col("event_id") % 7 != 0, F.col("value") * 0.25).alias("amount"),
         F.concat(F.lit("events_"), (F.col("event_id") % 12).cast("string")).alias("source_file"),
         "event_id",
         "user_id",
+        "props",
     )
 
 
@@ -59,9 +66,9 @@ sessions_all AS (
 def usage_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event sessions within the energy and duration limits; a missing end time stays missing."""
     kwh, minutes = F.col("consumption_kwh"), F.col("duration_minutes")
-    return event_sessions(spark, sf_dir).where(
-        (kwh > 0) & (kwh <= 300) & (minutes > 1) & (minutes <= 1440)
-    )
+    sessions = event_sessions(spark, sf_dir)
+    read = computed_once(sessions.drop("consumption_kwh"), {"consumption_kwh": kwh_of_props()})
+    return read.where((kwh > 0) & (kwh <= 300) & (minutes > 1) & (minutes <= 1440))
 
 
 USAGE_SESSIONS_SQL = EVENT_SESSIONS_SQL + """,

@@ -45,7 +45,8 @@ def locations(spark, d) -> DataFrame:
         F.when(k % 23 != 0, F.transform(F.sequence(F.lit(0).cast("long"), k % 3), evse)).alias("evses"),
     )
     text = I.table(spark, d, "orders").select(k.alias("loc_no"), F.to_json(record).alias("json"))
-    return text.select("loc_no", F.from_json("json", schemas.LOCATION).alias("loc")).select("loc_no", "loc.*")
+    # Unfolded by a generator, so that each text is parsed once for all of its fields.
+    return text.select("loc_no", F.inline(F.array(F.from_json("json", schemas.LOCATION))))
 
 
 # The same feed unfolded: locations, their EVSEs, their connectors, with the usable ones in `flat`.
