@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import constants as K, schemas
 
 
-def latest_snapshot(files: DataFrame, prefix: str = K.SNAPSHOT_PREFIX) -> str:
-    """A5: greatest path among the snapshot files of a listing (path, file_name); error if none."""
+def latest_path(files: DataFrame, prefix: str = K.SNAPSHOT_PREFIX) -> DataFrame:
+    """A5: one row with the greatest path among the snapshot files of a listing (path, file_name)."""
     named = F.col("file_name").startswith(prefix) & F.col("file_name").endswith(K.SNAPSHOT_SUFFIX)
-    path = files.where(named).agg(F.max("path")).first()[0]
+    return files.where(named).agg(F.max("path").alias("path"))
+
+
+def latest_snapshot(files: DataFrame, prefix: str = K.SNAPSHOT_PREFIX) -> str:
+    """A5: the path itself; an error when there is no snapshot."""
+    path = latest_path(files, prefix).first()[0]
     if path is None:
         raise FileNotFoundError(f"no snapshot named {prefix}*{K.SNAPSHOT_SUFFIX}")
     return path

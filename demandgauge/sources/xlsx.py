@@ -28,10 +28,12 @@ def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     A workbook that cannot be read gives one row with ``error`` set; the others load.
     """
-    return (
-        spark.read.format("binaryFile").load(paths)
-        .select("path", "content").mapInPandas(_parse_batches, _ROWS_SCHEMA)
-    )
+    return parse_workbooks(spark.read.format("binaryFile").load(paths))
+
+
+def parse_workbooks(files: DataFrame) -> DataFrame:
+    """The rows of workbooks given as (path, content)."""
+    return files.select("path", "content").mapInPandas(_parse_batches, _ROWS_SCHEMA)
 
 
 def workbook_plan(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from demandgauge import constants as K, schemas
@@ -13,8 +17,9 @@ from demandgauge.functions.numbers import to_double
 from demandgauge.operators import cleaning as C
 from demandgauge.operators.metrics import null_counts
 from demandgauge.plans.clean_run import run_clean
-from demandgauge.session import working_folder
-from demandgauge.sources import landing, tables
+from demandgauge.session import materialise, working_folder
+from demandgauge.sources import landing, tables, xlsx
+from demandgauge.streaming.incremental import clean_stream
 
 from . import inputs as I
 
@@ -242,11 +247,11 @@ def canonical_headers(spark, d):
     return I.table(spark, d, "events").select("event_id", landing.canonical_header(header).alias("column"))
 
 
-def write_landing(spark, d) -> list[str]:
-    """The raw events as CSV files in three header layouts and two encodings."""
+def write_landing(spark, d) -> str:
+    """The raw events as a folder of CSV files in three header layouts and two encodings."""
     rows = raw_sessions(spark, d)
     number = F.col("event_id") % 12
-    base = os.path.join(working_folder(spark), f"landing-{uuid.uuid4().hex}")
+    folder = os.path.join(working_folder(spark), f"landing-{uuid.uuid4().hex}")
     layouts = [
         (number < 3, {"CP ID": "cp_id", "Connector": "connector", "Start": "start_time", "Consum(kWh)": "consumption_kwh",
                       "Duration": "duration", "Sites": "site_name", "TE_Charge_Type": "connector_type",
@@ -254,18 +259,14 @@ def write_landing(spark, d) -> list[str]:
         (number.between(3, 7), {"amount": "amount", "connecto id": "connector", "cpid": "cp_id", "duration_time": "duration",
                                 "start time": "start_time", "consumed": "consumption_kwh", "site": "site_name",
                                 "charging_type": "connector_type", "currency": "currency", "notes": "source_file"}, "UTF-8"),
-        (number > 7, {"Display ID": "cp_id", "StartTime": "start_time", "": "duration", "consum": "consumption_kwh",
+        (number > 7, {"Display ID": "cp_id", "StartTime": "start_time", "Unnamed: 2": "duration", "consum": "consumption_kwh",
                       "connector_id": "connector", "Site_Name": "site_name", "connector type": "connector_type",
                       "Currency": "currency", "Amount": "amount"}, "ISO-8859-1"),
     ]
-    folders = []
-    for no, (chosen, header, encoding) in enumerate(layouts):
-        part = rows.where(chosen).select(*[F.col(c).alias(h or "_") for h, c in header.items()])
-        folder = os.path.join(base, f"layout{no}")
-        # A blank header name cannot be written by name, so the header is "Unnamed: 2" as re-saved files have it.
-        part.withColumnsRenamed({"_": "Unnamed: 2"}).write.csv(folder, header=True, encoding=encoding)
-        folders.append(folder)
-    return folders
+    for chosen, header, encoding in layouts:
+        part = rows.where(chosen).select(*[F.col(c).alias(h) for h, c in header.items()])
+        part.write.mode("append").csv(folder, header=True, encoding=encoding)
+    return folder
 
 
 def clean_run(spark, d):
@@ -274,6 +275,57 @@ def clean_run(spark, d):
     return _shown(tables.scan(spark, table))
 
 
+def incremental_clean_stream(spark, d):
+    """The landing folder as a stream, run until it has nothing left."""
+    base = os.path.join(working_folder(spark), f"stream-{uuid.uuid4().hex}")
+    table = os.path.join(base, "sessions")
+    clean_stream(spark, write_landing(spark, d), table, os.path.join(base, "state")).awaitTermination()
+    return _shown(tables.scan(spark, table))
+
+
+ROWS_PER_BOOK = 500
+
+
+def _book(rows: pd.DataFrame) -> pd.DataFrame:
+    """One small workbook: a header row and the given rows, dates and durations as styled numbers."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+    def text(v):
+        return f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+
+    lines = ["".join(text(h) for h in ("CP ID", "Connector", "Start Time", "Consumed", "Duration", "Site"))]
+    for r in rows.sort_values("o_orderkey").itertuples():
+        lines.append(text(r.cp_id) + text(r.connector) + f'<c s="1"><v>{r.serial!r}</v></c><c><v>{r.kwh!r}</v></c>'
+                     + f'<c s="2"><v>{r.share!r}</v></c>' + text(r.site))
+    sheet = f"<worksheet {ns}><sheetData>" + "".join(f"<row>{x}</row>" for x in lines) + "</sheetData></worksheet>"
+    styles = (f'<styleSheet {ns}><numFmts><numFmt numFmtId="164" formatCode="dd/mm/yyyy\\ hh:mm"/></numFmts><cellXfs>'
+              '<xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="46"/></cellXfs></styleSheet>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/styles.xml", styles)
+    return pd.DataFrame({"path": [f"/books/{rows['book'].iloc[0]}.xlsx"], "content": [out.getvalue()]})
+
+
+def workbooks(spark, d):
+    """Orders as workbooks of at most 500 rows each, read back through the workbook source."""
+    k, total = F.col("o_orderkey"), F.col("o_totalprice")
+    days = F.datediff(F.to_date("o_orderdate"), F.lit("1899-12-30").cast("date"))
+    rows = I.table(spark, d, "orders").select(
+        "o_orderkey", F.floor(k / ROWS_PER_BOOK).alias("book"), F.col("o_custkey").cast("string").alias("cp_id"),
+        F.substring("o_orderpriority", 1, 1).alias("connector"),
+        (days + (k % 1440).cast("double") / 1440).alias("serial"), (k % 300 + 0.5).cast("double").alias("kwh"),
+        ((k % 2000 + 1).cast("double") / 1440).alias("share"),
+        F.concat(F.lit("hall & "), F.col("o_orderstatus"), F.lit(" <"), k.cast("string"), F.lit(">")).alias("site"))
+    files = rows.groupBy("book").applyInPandas(_book, "path string, content binary")
+    parsed = materialise(xlsx.parse_workbooks(files), "workbooks")
+    typed_rows = C.typed_sessions(xlsx.session_rows(parsed, xlsx.workbook_plan(parsed)))
+    return typed_rows.select(
+        "cp_id", "connector", F.unix_seconds("start_time").alias("start_s"), "consumption_kwh",
+        F.round("duration_minutes", 3).alias("duration_minutes"), F.unix_seconds("end_time").alias("end_s"),
+        "site_name", "source_file")
+
+
 def unprocessed_files(spark, d):
     sessions = I.event_sessions(spark, d)
     files = sessions.select(F.col("source_file").alias("file_name")).distinct()
@@ -323,6 +375,8 @@ QUERIES = {
     "clean_counts": clean_counts,
     "months_covered": months_covered,
     "clean_run": clean_run,
+    "incremental_clean_stream": incremental_clean_stream,
+    "workbooks": workbooks,
     "unprocessed_files": unprocessed_files,
     "seed_reference": seed_reference,
     "min_rows_gate": min_rows_gate,
@@ -377,6 +431,15 @@ SELECT (SELECT count(*) FROM deduped) AS deduplicated, (SELECT count(*) FROM ide
        (SELECT count(*) FROM clean) AS valid""",
     "months_covered": _WITH_RAW + " SELECT DISTINCT year_month FROM clean ORDER BY 1",
     "clean_run": _WITH_RAW + f" SELECT {_SHOWN} FROM clean",
+    "incremental_clean_stream": _WITH_RAW + f" SELECT {_SHOWN} FROM clean",
+    "workbooks": f"""
+SELECT CAST(o_custkey AS VARCHAR) AS cp_id, o_orderpriority[1:1] AS connector,
+       CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) + o_orderkey % 1440 * 60 AS start_s,
+       o_orderkey % 300 + 0.5::DOUBLE AS consumption_kwh, (o_orderkey % 2000 + 1)::DOUBLE AS duration_minutes,
+       CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) + o_orderkey % 1440 * 60 + (o_orderkey % 2000 + 1) * 60 AS end_s,
+       'hall & ' || o_orderstatus || ' <' || o_orderkey || '>' AS site_name,
+       (o_orderkey // {ROWS_PER_BOOK}) || '.xlsx' AS source_file
+FROM orders""",
     "unprocessed_files": "SELECT DISTINCT 'events_' || CAST(event_id % 12 AS VARCHAR) AS file_name FROM events WHERE event_id % 12 IN (3, 7)",
     "seed_reference": "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2",
     "min_rows_gate": f"""WITH {I.LINEITEM_SESSIONS_SQL}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from demandgauge import constants as K, schemas
 from demandgauge.functions.text import power_type as power_of
 from demandgauge.operators import connectors as D
+from demandgauge.session import working_folder
 from demandgauge.sources import locations as L
 
 from . import inputs as I
@@ -87,6 +91,30 @@ FIXED_POSTCODES = {"cp5": "G1 1AA", "cp100": "AB1 2CD"}
 FIXED_PLACES = {"cp7": (57.25, -2.5)}
 
 
+LOCATIONS_PER_FILE = 1000
+
+
+def read_locations(spark, d):
+    """The feed as snapshot files of at most 1000 locations each, read back through the file source."""
+    record = F.struct("name", "address", "city", "postal_code", "coordinates", "evses")
+    chunk = F.floor(F.col("loc_no") / LOCATIONS_PER_FILE)
+    envelopes = locations(spark, d).groupBy(chunk.alias("chunk")).agg(
+        F.count(F.lit(1)).alias("location_count"), F.sort_array(F.collect_list(F.struct("loc_no", record.alias("r")))).alias("rs"))
+    text = F.to_json(F.struct("location_count", F.transform("rs", lambda x: x["r"]).alias("data")))
+    folder = os.path.join(working_folder(spark), f"snapshots-{uuid.uuid4().hex}")
+    envelopes.select("chunk", text.alias("value")).write.partitionBy("chunk").text(folder)
+    return L.locations(L.read_snapshot(spark, folder)).select(
+        "loc_no", F.col("name").alias("site_name"), "city", F.col("coordinates.latitude").alias("latitude_text"),
+        F.size(F.coalesce("evses", F.array().cast(schemas.LOCATION["evses"].dataType))).alias("n_evses"))
+
+
+def latest_snapshot(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    name = F.concat(F.when(F.col("o_orderstatus") == "F", K.SNAPSHOT_PREFIX).otherwise("other_"), day, F.lit(".json"))
+    files = I.table(spark, d, "orders").select(name.alias("file_name"), F.concat(F.lit("/feed/"), name).alias("path"))
+    return L.latest_path(files)
+
+
 def flatten_connectors(spark, d):
     return D.flatten_connectors(locations(spark, d)).select(*_FLAT, F.col("feed_order.loc_no").alias("loc_no"))
 
@@ -137,6 +165,8 @@ def charge_points(spark, d):
 
 
 QUERIES = {
+    "read_locations": read_locations,
+    "latest_snapshot": latest_snapshot,
     "flatten_connectors": flatten_connectors,
     "dedup_connectors": dedup_connectors,
     "n_connectors": n_connectors,
@@ -158,6 +188,14 @@ _FIXED = f"""coalesce({_PC_CASE}, postcode) AS postcode,
        CASE WHEN {_LAT_CASE} IS NOT NULL THEN 'override' ELSE 'feed' END AS coord_source"""
 
 ORACLE = {
+    "read_locations": _WITH + f"""
+SELECT CAST(k % {LOCATIONS_PER_FILE} AS INTEGER) AS loc_no, site_name, city,
+       CASE WHEN k % 13 <> 0 THEN CASE WHEN k % 17 = 0 THEN 'north' ELSE (k % 5 + 55) || '.5' END END AS latitude_text,
+       CAST(CASE WHEN has_evses THEN k % 3 + 1 ELSE 0 END AS INTEGER) AS n_evses
+FROM locs""",
+    "latest_snapshot": f"""
+SELECT '/feed/{K.SNAPSHOT_PREFIX}' || max(strftime(o_orderdate, '%Y-%m-%d')) || '.json' AS path
+FROM orders WHERE o_orderstatus = 'F'""",
     "flatten_connectors": _WITH + f" SELECT {_COLS}, k AS loc_no FROM flat",
     "dedup_connectors": _WITH + f" SELECT {_COLS} FROM firsts",
     "n_connectors": _WITH + " SELECT cp_id, connector_id, n_connectors FROM counted",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from demandgauge import constants as K
 from demandgauge.operators import profiles as V, sites as S
+from demandgauge.sources.tables import postcode_areas
 
 from . import inputs as I
 from .pressure import FULL_INDEX_SQL, index
@@ -103,6 +104,11 @@ def area_names(spark, d):
     return S.with_area_name(S.distinct_areas(S.site_rollup(index(spark, d))))
 
 
+def area_names_by_table(spark, d):
+    """The same names from the seeded reference table."""
+    return S.with_area_name(S.distinct_areas(S.site_rollup(index(spark, d))), postcode_areas(spark))
+
+
 def region_centre(spark, d):
     return S.region_centre(S.site_rollup(index(spark, d))).select(
         "postcode_area", "n_sites", *_round(["latitude", "longitude"]))
@@ -187,6 +193,7 @@ QUERIES = {
     "region_sites": region_sites,
     "distinct_areas": distinct_areas,
     "area_names": area_names,
+    "area_names_by_table": area_names_by_table,
     "region_centre": region_centre,
     "highlighted_sites": highlighted_sites,
     "sessions_of_area": sessions_of_area,
@@ -241,6 +248,8 @@ WHERE postcode_area = '{AREA}' AND latitude IS NOT NULL AND longitude IS NOT NUL
     "distinct_areas": WITH_SITES + """
 SELECT DISTINCT postcode_area FROM rolled WHERE postcode_area IS NOT NULL ORDER BY 1""",
     "area_names": WITH_SITES + f"""
+SELECT DISTINCT postcode_area, {AREA_NAME_SQL} AS area_name FROM rolled WHERE postcode_area IS NOT NULL""",
+    "area_names_by_table": WITH_SITES + f"""
 SELECT DISTINCT postcode_area, {AREA_NAME_SQL} AS area_name FROM rolled WHERE postcode_area IS NOT NULL""",
     "region_centre": WITH_SITES + """
 SELECT postcode_area, count(*) AS n_sites, round(avg(latitude), 6) AS latitude,
