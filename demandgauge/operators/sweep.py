@@ -5,24 +5,26 @@ A sweep over start and end events, made of aggregates and bounded windows:
 1. every session becomes +1 at its start second and -1 at its end second;
 2. changes are summed per (point, second) before any ordering, so the order of ties
    does not matter and a busy second is one row however many sessions share it;
-3. per (point, day) the net change is carried to later days by a running sum over days;
-4. every day gets a row that opens it with the carried concurrency and one that closes it
-   where the next day with changes begins; inside one (point, day), at most 86,402 rows, a
-   running sum then gives the concurrency and the next row ends each stretch.
+3. time is cut into slices of four weeks; per (point, slice) the net change is carried to
+   later slices by a running sum over the slices;
+4. every slice gets a row that opens it with the carried concurrency and one that closes it
+   where the next slice with changes begins; inside one (point, slice) a running sum then
+   gives the concurrency, and the next row ends each stretch.
 
-No window partition grows with the number of sessions, so one point may hold any share
-of the data; sessions that last for days are not multiplied, and nothing is joined.
+A slice has 2.4 million seconds, so no window partition grows beyond that with the number
+of sessions: one point may hold any share of the data.  Long sessions are not multiplied,
+quiet points get few extra rows, and nothing is joined.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-_DAY = 86400
+_SLICE = 28 * 86400
 
 
 def concurrency_changes(sessions: DataFrame) -> DataFrame:
-    """(cp_id, day, second, change): net change of running sessions in each second."""
+    """(cp_id, slice, second, change): net change of running sessions in each second."""
     start, end = F.unix_seconds("start_time"), F.unix_seconds("end_time")
     steps = sessions.where(start.isNotNull() & end.isNotNull()).select(
         "cp_id", F.explode(F.array(
@@ -30,8 +32,8 @@ def concurrency_changes(sessions: DataFrame) -> DataFrame:
             F.struct(end.alias("second"), F.lit(-1).alias("step")),
         )).alias("e"))
     return (
-        steps.select("cp_id", F.expr("e.second div %d" % _DAY).alias("day"), "e.second", "e.step")
-        .groupBy("cp_id", "day", "second")
+        steps.select("cp_id", F.expr("e.second div %d" % _SLICE).alias("slice"), "e.second", "e.step")
+        .groupBy("cp_id", "slice", "second")
         .agg(F.sum("step").alias("change"))
     )
 
@@ -39,27 +41,27 @@ def concurrency_changes(sessions: DataFrame) -> DataFrame:
 def concurrency_levels(sessions: DataFrame) -> DataFrame:
     """(cp_id, running, seconds): concurrency after each change and how long it lasts."""
     changes = concurrency_changes(sessions)
-    over_days = Window.partitionBy("cp_id").orderBy("day")
+    over_slices = Window.partitionBy("cp_id").orderBy("slice")
     carried = F.coalesce(
-        F.sum("net").over(over_days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = (
-        changes.groupBy("cp_id", "day")
+        F.sum("net").over(over_slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = (
+        changes.groupBy("cp_id", "slice")
         .agg(F.sum("change").alias("net"), F.min("second").alias("first_second"))
         .select(
-            "cp_id", "day",
+            "cp_id", "slice",
             F.struct(F.col("first_second").alias("second"), carried.alias("change")).alias("opening"),
-            F.struct(F.lead("first_second").over(over_days).alias("second"),
+            F.struct(F.lead("first_second").over(over_slices).alias("second"),
                      F.lit(0).cast("long").alias("change")).alias("closing"),
         )
-        .select("cp_id", "day", F.inline(F.array("opening", "closing")))
+        .select("cp_id", "slice", F.inline(F.array("opening", "closing")))
         .where(F.col("second").isNotNull())
     )
     # Rows of one second share their running sum (range frame) and add zero-length stretches.
-    in_day = Window.partitionBy("cp_id", "day").orderBy("second")
-    return changes.unionByName(days).select(
+    in_slice = Window.partitionBy("cp_id", "slice").orderBy("second")
+    return changes.unionByName(ends).select(
         "cp_id",
-        F.sum("change").over(in_day).alias("running"),
-        F.coalesce(F.lead("second").over(in_day) - F.col("second"), F.lit(0)).alias("seconds"),
+        F.sum("change").over(in_slice).alias("running"),
+        F.coalesce(F.lead("second").over(in_slice) - F.col("second"), F.lit(0)).alias("seconds"),
     )
 
 

@@ -39,11 +39,11 @@ def test_hand_sized_cases(spark):
     assert got == {"a": 10, "b": 15, "c": 0, "d": 0}  # e has no location and drops
 
 
-def test_long_sessions_cross_days(spark):
-    day = 86400
-    rows = [("a", 100, 10 * day), ("a", 3 * day + 5, 3 * day + 65), ("a", 9 * day, 12 * day)]
-    assert saturated(spark, rows, [("a", 2)]) == {"a": 60 + day}
-    assert saturated(spark, rows, [("a", 1)]) == {"a": 12 * day - 100}
+def test_long_sessions_cross_slices(spark):
+    part = sweep._SLICE
+    rows = [("a", 100, 10 * part), ("a", 3 * part + 5, 3 * part + 65), ("a", 9 * part, 12 * part)]
+    assert saturated(spark, rows, [("a", 2)]) == {"a": 60 + part}
+    assert saturated(spark, rows, [("a", 1)]) == {"a": 12 * part - 100}
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -54,8 +54,8 @@ def test_equals_brute_force(spark, seed):
     for cp in "abcdef":
         caps.append((cp, rng.randint(1, 4)))
         for _ in range(rng.randint(1, 40)):
-            s = rng.randint(0, 300000)
-            rows.append((cp, s, s + rng.choice([0, 1, 60, 5000, 90000, 250000])))
+            s = rng.randint(0, 9_000_000)
+            rows.append((cp, s, s + rng.choice([0, 1, 60, 90000, 400_000, 3_000_000, 6_000_000])))
     rng.shuffle(rows)
     want = {cp: brute([(s, e) for c, s, e in rows if c == cp], k) for cp, k in caps}
     assert saturated(spark, rows, caps) == want
