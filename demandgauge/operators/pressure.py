@@ -11,6 +11,7 @@ from ..functions.numbers import capped, ratio_or_null
 from ..functions.text import postcode_area
 from ..functions.times import end_or_planned, hours_between, hours_between_seconds
 from ..session import materialise
+from .metrics import RunMetrics
 from .ranking import percentiles_for, with_percentiles
 from .sweep import saturated_hours
 
@@ -151,14 +152,18 @@ def pressure_index(
     connectors: DataFrame,
     min_sessions: int = K.MIN_SESSIONS,
     weights: dict[str, float] | None = None,
+    metrics: RunMetrics | None = None,
 ) -> DataFrame:
     """E1-E20 without the time stamp: the ranked index, one row per charge point.
 
     Ranking reads the measures several times, so they are written once to the shared
     folder; the sessions are scanned by that write only.  The row count comes from the
-    footers of the written files.
+    footers of the written files.  ``metrics`` receives the points before and after the floor.
     """
-    measured = materialise(rankable(cp_metrics(sessions, connectors), min_sessions), "cp_metrics")
+    metrics = metrics or RunMetrics()
+    points = metrics.watch(cp_metrics(sessions, connectors), "measured")
+    kept = metrics.watch(rankable(points, min_sessions), "rankable")
+    measured = materialise(kept, "cp_metrics")
     ranked = rank_points(measured, weights, percentiles_for(measured.count()))
     return ranked.withColumn("postcode_area", postcode_area(F.col("postcode")))
 

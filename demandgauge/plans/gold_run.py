@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
+from ..operators.metrics import RunMetrics
 from ..operators.pressure import gold, pressure_index
 from ..operators.sites import site_view
 from ..sources import tables
@@ -16,10 +17,13 @@ _SESSION_COLUMNS = [
 
 def run_pressure(spark: SparkSession, sessions_path: str, connectors_path: str, target: str,
                  min_sessions: int = K.MIN_SESSIONS, months: list[str] | None = None,
-                 now: Column | None = None) -> DataFrame:
-    """Compute and store the index; returns the stored table."""
+                 now: Column | None = None, metrics: RunMetrics | None = None) -> DataFrame:
+    """Compute and store the index; returns the stored table.
+
+    ``metrics`` receives the number of points before and after the session floor.
+    """
     sessions = tables.scan(spark, sessions_path, months=months).select(*_SESSION_COLUMNS)
-    index = pressure_index(sessions, tables.scan(spark, connectors_path), min_sessions)
+    index = pressure_index(sessions, tables.scan(spark, connectors_path), min_sessions, metrics=metrics)
     tables.write_table(gold(index, now), target)
     return tables.scan(spark, target)
 

@@ -17,7 +17,7 @@ def run_locations(spark: SparkSession, folder: str, target: str, min_connectors:
     path = L.latest_snapshot(L.snapshot_files(spark, folder))
     locs = L.locations(L.read_snapshot(spark, path))
     if min_locations:
-        tables.require_min_rows(locs, min_locations, "locations")
+        L.require_complete(locs, min_locations)
     rows = charge_points(locs, path.rsplit("/", 1)[-1], now, postcodes, coordinates)
     ready = materialise(rows, "charge_points")
     tables.require_min_rows(ready, min_connectors, "connectors")

@@ -32,7 +32,7 @@ def working_folder(spark: SparkSession) -> str:
     Only a local-mode session without that setting gets a temporary folder; on a
     cluster a machine-local folder would not be readable by other executors.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not (spark.conf.get("spark.master", "") or "").startswith("local"):

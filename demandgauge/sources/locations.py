@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as K, schemas
+from .tables import require_min_rows
 
 
 def latest_path(files: DataFrame, prefix: str = K.SNAPSHOT_PREFIX) -> DataFrame:
@@ -37,6 +38,11 @@ def locations(snapshot: DataFrame) -> DataFrame:
     return snapshot.select(F.posexplode("data").alias("loc_no", "location")).select("loc_no", "location.*")
 
 
+def require_complete(locs: DataFrame, at_least: int = K.MIN_LOCATIONS) -> DataFrame:
+    """Raise when a feed holds too few locations to be trusted."""
+    return require_min_rows(locs, at_least, "locations")
+
+
 def snapshot_counts(locs: DataFrame) -> DataFrame:
     """Number of locations and of the EVSEs they list."""
     listed = F.coalesce(F.size(F.coalesce("evses", F.array().cast(schemas.LOCATION["evses"].dataType))), F.lit(0))

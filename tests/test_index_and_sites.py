@@ -3,6 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from demandgauge import constants as K, schemas
+from demandgauge.operators.metrics import RunMetrics
 from demandgauge.operators import pressure as P, profiles as V, sites as S
 from demandgauge.plans.gold_run import run_pressure, stored_site_view, unplaced_sessions
 from demandgauge.sources import tables
@@ -32,7 +33,9 @@ def test_run_pressure(spark, tmp_path):
     tables.write_sessions(make_sessions(spark), s)
     tables.write_table(make_connectors(spark), c)
     now = F.lit("2026-01-01").cast("timestamp")
-    gold = run_pressure(spark, s, c, g, min_sessions=80, now=now)
+    metrics = RunMetrics()
+    gold = run_pressure(spark, s, c, g, min_sessions=80, now=now, metrics=metrics)
+    assert {k: v["rows"] for k, v in metrics.report().items()} == {"measured": 4, "rankable": 3}
     assert [f.name for f in gold.schema.fields] == [f.name for f in schemas.PRESSURE.fields]
     assert [f.dataType for f in gold.schema.fields] == [f.dataType for f in schemas.PRESSURE.fields]
     rows = {r.cp_id: r for r in gold.collect()}

@@ -70,8 +70,8 @@ _CLOCK = """lpad(CAST({s} // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({s}
 RAW_SQL = f"""
 base AS (
   SELECT *, CAST(floor(value * 60) AS BIGINT) AS secs,
-         to_timestamp(CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) + CAST(floor(value * 60) AS BIGINT))
-           AT TIME ZONE 'UTC' AS ends
+         make_timestamp((CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) + CAST(floor(value * 60) AS BIGINT))
+                        * 1000000) AS ends
   FROM events
 ),
 raw AS (

@@ -19,7 +19,7 @@ POWER_CODES = ["AC_1_PHASE", "AC_3_PHASE", "DC", "CCS"]
 
 
 def locations(spark, d) -> DataFrame:
-    """Orders as feed records: nested, written as JSON text, and parsed with the feed's schema."""
+    """Orders as nested feed records."""
     k = F.col("o_orderkey")
     codes = F.array(*[F.lit(c) for c in POWER_CODES], F.lit(None).cast("string"))
 
@@ -48,9 +48,7 @@ def locations(spark, d) -> DataFrame:
         )).alias("coordinates"),
         F.when(k % 23 != 0, F.transform(F.sequence(F.lit(0).cast("long"), k % 3), evse)).alias("evses"),
     )
-    text = I.table(spark, d, "orders").select(k.alias("loc_no"), F.to_json(record).alias("json"))
-    # Unfolded by a generator, so that each text is parsed once for all of its fields.
-    return text.select("loc_no", F.inline(F.array(F.from_json("json", schemas.LOCATION))))
+    return I.table(spark, d, "orders").select(k.alias("loc_no"), F.inline(F.array(record)))
 
 
 # The same feed unfolded: locations, their EVSEs, their connectors, with the usable ones in `flat`.
