@@ -15,7 +15,8 @@ from ..functions.text import basename, strip
 from ..session import materialise
 
 _HEADING = r"(?is)<h([2-4])\b[^>]*>(.*?)</h\1\s*>"
-_LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
+_HREF = r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_LINK = r"(?is)<a\b[^>]*?" + _HREF + r"[^>]*>.*?</a\s*>"
 _TAGS = r"(?s)<!--.*?-->|<[^>]*>"
 _ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
 
@@ -57,8 +58,10 @@ def extract_links(pages: DataFrame) -> DataFrame:
         F.regexp_extract("section", "^(20\\d{2})\u0002", 1).try_cast("int").alias("heading_year"),
         F.posexplode(F.regexp_extract_all("section", F.lit(_LINK), F.lit(0))).alias("link_no", "link"),
     )
-    href = F.concat(*[F.regexp_extract("link", _LINK, i) for i in (1, 2, 3)])
-    text = F.regexp_replace(F.regexp_extract("link", _LINK, 4), _TAGS, "")
+    # One pattern per part: the quoted or bare address, and the text left without any tag.
+    quoted = F.regexp_extract("link", "(?is)" + _HREF, 1)
+    href = F.when(quoted.rlike("^[\"']"), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
+    text = F.regexp_replace("link", _TAGS, "")
     read = computed_once(links, {"href": _unescape(href), "text": F.lower(strip(_unescape(text)))})
     return read.select(
         "page_id", F.struct("section_no", "link_no").alias("pos"), "href", "text", "heading_year")
