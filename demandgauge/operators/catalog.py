@@ -53,11 +53,12 @@ def extract_links(pages: DataFrame) -> DataFrame:
     ``text`` is trimmed and lower-cased, without inner tags.
     """
     sections = pages.select("page_id", F.posexplode(_year_sections(F.col("html"))).alias("section_no", "section"))
-    links = sections.select(
-        "page_id", "section_no",
-        F.regexp_extract("section", "^(20\\d{2})\u0002", 1).try_cast("int").alias("heading_year"),
-        F.posexplode(F.regexp_extract_all("section", F.lit(_LINK), F.lit(0))).alias("link_no", "link"),
-    )
+    found = computed_once(sections, {
+        "heading_year": F.regexp_extract("section", "^(20\\d{2})\u0002", 1).try_cast("int"),
+        "links": F.regexp_extract_all("section", F.lit(_LINK), F.lit(0)),
+    })
+    links = found.select(
+        "page_id", "section_no", "heading_year", F.posexplode("links").alias("link_no", "link"))
     # One pattern per part: the quoted or bare address, and the text left without any tag.
     quoted = F.regexp_extract("link", "(?is)" + _HREF, 1)
     href = F.when(quoted.rlike("^[\"']"), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
