@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgauge.llm import decontaminate, url_filter
+from demandgauge.llm import decontaminate, near_dup, url_filter
 from demandgauge.llm.shared import table
 
 #: Fixed values of the contract: (host, path, verdict).
@@ -48,5 +48,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, k=3, share=(85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {"op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
 ORACLE = {"op2_url_filter": _OP2}
