@@ -109,7 +109,7 @@ def _scan(texts: pa.Array, lengths: list[int], bloom: np.ndarray | None) -> pa.A
 def _scanner(lengths: list[int], bloom: np.ndarray | None):
     @F.arrow_udf(_FOUND)
     def scan(texts: pa.Array) -> pa.Array:
-        return _scan(texts, lengths, bloom)
+        return pa.concat_arrays([_scan(part, lengths, bloom) for part in W.slices(texts)])
     return scan
 
 

@@ -67,8 +67,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(texts: pa.Array, k: int) -> pa.Array:
-    parts = [_sign_some(texts.slice(i, 512), k) for i in range(0, max(1, len(texts)), 512)]
-    return pa.concat_arrays(parts)
+    return pa.concat_arrays([_sign_some(part, k) for part in W.slices(texts)])
 
 
 def _sign_some(texts: pa.Array, k: int) -> pa.Array:
@@ -101,8 +100,11 @@ def _signer(k: int):
 def _setter(k: int):
     @F.arrow_udf("binary")
     def as_set(texts: pa.Array) -> pa.Array:
-        g, start = shingle_sets(texts, k)
-        return pa.array([g[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())
+        out = []
+        for part in W.slices(texts):
+            g, start = shingle_sets(part, k)
+            out += [g[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]
+        return pa.array(out, pa.binary())
     return as_set
 
 

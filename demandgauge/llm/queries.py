@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgauge.llm import decontaminate, near_dup, url_filter
-from demandgauge.llm.shared import table
+from demandgauge.llm import decontaminate, near_dup, quality_rules, url_filter
+from demandgauge.llm.shared import table, write_once
 
 #: Fixed values of the contract: (host, path, verdict).
 URL_RULES = [
@@ -53,5 +53,10 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(docs, k=3, share=(85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return quality_rules.judge(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+QUERIES = {"op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
 ORACLE = {"op2_url_filter": _OP2}

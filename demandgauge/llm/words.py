@@ -64,6 +64,19 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def slices(texts: pa.Array, most: int = 1 << 22) -> list[pa.Array]:
+    """Runs of whole texts of about ``most`` bytes; a longer text is a run by itself."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else np.zeros(0)
+    cuts, at = [0], 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        at = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        cuts.append(at)
+    return [texts.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] or [texts]
+
+
 class Words:
     """Words of a batch: ``starts`` and ``ends`` in bytes, and ``first``, where the words of text i begin."""
 
