@@ -33,19 +33,18 @@ _SPACE = "\t\n\u000b\u000c\r "
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts of the whole text; input columns of these names are replaced."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    spaced = F.translate(whole, _SPACE[:-1], " " * (len(_SPACE) - 1))
-    words = F.filter(F.split(F.trim(spaced), " +"), lambda w: w != "")
+    words = F.array_remove(F.split(whole, r"[\x20\x09-\x0D]+"), "")
     # Every array that is read more than once is a column of its own, so that it is computed once.
     return (
         docs.drop(*COUNTS).withColumn("_text", whole)
         .withColumn("_words", words)
-        .withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.translate(x, _SPACE, "") != ""))
+        .withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.trim(x, F.lit(_SPACE)) != ""))
         .withColumn("_windows", F.expr("""
             CASE WHEN size(_words) < 4 THEN CAST(array() AS array<bigint>)
                  ELSE transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) END"""))
         .withColumn("n_words", F.size("_words").cast("bigint"))
-        .withColumn("word_chars", F.aggregate("_words", F.lit(0).cast("bigint"), lambda n, w: n + F.length(w)))
-        .withColumn("n_symbols", (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("bigint"))
+        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("bigint"))
+        .withColumn("n_symbols", F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("bigint"))
         .withColumn("_n_lines", F.size("_lines").cast("bigint"))
         .withColumn("n_dup_lines", F.col("_n_lines") - F.size(F.array_distinct("_lines")))
         .drop("_words", "_text", "_lines")
@@ -104,11 +103,14 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -
     return joined.select("lang", "source", *(c.alias(f"limit_{n}") for n, c in limits.items()))
 
 
-def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", limits: DataFrame | None = None) -> DataFrame:
-    """``docs`` with counts, base_failed and kept.  ``limits`` (see ``thresholds``) may come from another run."""
+def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+    """``docs`` with counts, base_failed and kept; counts are taken twice, so that texts are written nowhere."""
     counted = counts(docs, text)
-    if limits is None:
-        limits = write_once(thresholds(counted, lang, source), "limits")
+    return decide(counted, write_once(thresholds(counted, lang, source), "limits"), lang, source)
+
+
+def decide(counted: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Base rules, then the joined limits, on the result of ``counts``."""
     renamed = limits.withColumnsRenamed({"lang": "_limit_lang", "source": "_limit_source"} | {f"limit_{n}": f"_limit_{n}" for n in LEAST})
     joined = counted.drop("base_failed", "kept").join(
         renamed, F.col(lang).eqNullSafe(F.col("_limit_lang")) & F.col(source).eqNullSafe(F.col("_limit_source")), "left")

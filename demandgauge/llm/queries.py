@@ -55,7 +55,9 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return quality_rules.judge(docs).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+    counted = write_once(quality_rules.counts(docs).drop("text"), "counted")
+    limits = write_once(quality_rules.thresholds(counted), "limits")
+    return quality_rules.decide(counted, limits).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
