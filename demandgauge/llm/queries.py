@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgauge.llm import decontaminate, near_dup, quality_rules, url_filter
+from demandgauge.llm import bpe, decontaminate, near_dup, quality_rules, url_filter
 from demandgauge.llm.shared import table, write_once
 
 #: Fixed values of the contract: (host, path, verdict).
@@ -60,5 +61,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.decide(counted, limits).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = table(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
+    return ids.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
 ORACLE = {"op2_url_filter": _OP2}
