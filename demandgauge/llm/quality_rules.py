@@ -93,11 +93,12 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -
         return out
 
     total, by_lang, own = merged([], "all"), merged(["lang"], "lang"), merged(["lang", "source"], "own")
-    every = by_lang.withColumn("_one", F.lit(1)).join(total.withColumn("_one", F.lit(1)), "_one").drop("_one").withColumnRenamed("lang", "_lang")
+    # The limits of all rows are one row: a scalar, not a join.
+    every = by_lang.withColumn("_all", total.select(F.struct(*(f"{n}_all" for n in names))).scalar()).withColumnRenamed("lang", "_lang")
     joined = own.join(every, F.col("lang").eqNullSafe(F.col("_lang")))
     limits = {}
     for n in names:
-        whole = F.col(f"{n}_all")
+        whole = F.col(f"_all.{n}_all")
         language = F.when(F.col("n_lang") >= ENOUGH, F.least(f"{n}_lang", whole * SLACK)).otherwise(whole)
         limits[n] = F.when(F.col("n_own") >= ENOUGH, F.least(F.col(f"{n}_own"), language * SLACK)).otherwise(language)
     return joined.select("lang", "source", *(c.alias(f"limit_{n}") for n, c in limits.items()))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgauge.llm import bpe, decontaminate, near_dup, quality_rules, url_filter
+from demandgauge.llm import bpe, decontaminate, id_files, licenses, near_dup, quality_rules, url_filter
+from demandgauge.session import working_folder
 from demandgauge.llm.shared import table, write_once
 
 #: Fixed values of the contract: (host, path, verdict).
@@ -70,5 +74,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    encode = id_files.tokenizer_ids(spark, file, end_id=2)
+    ids = write_once(table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text")).alias("ids")), "ids")
+    path = os.path.join(working_folder(spark), f"id-files-{uuid.uuid4().hex}")
+    id_files.write_ids(ids, path, id_files.vocabulary_size(file))
+    return id_files.read_ids(spark, path).select(
+        "doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+QUERIES = {"op9_licenses": op9_licenses, "op7_id_files": op7_id_files, "op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
 ORACLE = {"op2_url_filter": _OP2}
