@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgauge.llm import bpe, decontaminate, id_files, licenses, near_dup, quality_rules, url_filter
+from demandgauge.llm import bpe, decontaminate, id_files, licenses, near_dup, quality_rules, secrets, url_filter
 from demandgauge.session import working_folder
 from demandgauge.llm.shared import table, write_once
 
@@ -91,5 +91,14 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("labels", ",").alias("labels"), "score")
 
 
-QUERIES = {"op9_licenses": op9_licenses, "op7_id_files": op7_id_files, "op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per candidate of every document; ``secret`` are those that the forest holds for real."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.find(docs, secrets.Forest(secrets.labelled_findings(spark)))
+    return found.select("doc_id", F.explode("findings").alias("f")).select(
+        "doc_id", F.col("f.start").cast("bigint").alias("start"), F.col("f.end").cast("bigint").alias("end"),
+        F.sha2("f.value", 256).alias("value_sha256"), "f.score", (F.col("f.score") >= secrets.SURE).alias("secret"))
+
+
+QUERIES = {"op5_secrets": op5_secrets, "op9_licenses": op9_licenses, "op7_id_files": op7_id_files, "op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
 ORACLE = {"op2_url_filter": _OP2}

@@ -1,0 +1,62 @@
+import re
+
+import pytest
+
+from demandgauge.llm import secrets
+from demandgauge.llm.queries import QUERIES
+
+HEX = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+RUN = re.compile(r"(?<![A-Za-z0-9+/_\-=])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.Forest(secrets.labelled_findings(spark))
+
+
+def judged(spark, forest, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3).selectExpr("*", "1 AS value", "2 AS start")
+    return {r.doc_id: r for r in secrets.find(df, forest).collect()}
+
+
+def test_held_out_accuracy(spark):
+    """Fitted on the first rows of the labelled table, tried on rows it has not seen."""
+    table = secrets.labelled_findings(spark, 3000)
+    fitted = secrets.Forest(table.filter("id < 1200"))
+    rest = table.filter("id >= 1200").withColumn("f", secrets.F.array(*secrets.features(*(secrets.F.col(c) for c in ("value", "before", "after", "path")))))
+    right = rest.filter((fitted.score(secrets.F.col("f")) >= secrets.SURE) == (secrets.F.col("secret") == 1)).count()
+    assert right / rest.count() >= 0.97
+
+
+def test_findings(spark, forest):
+    texts = {
+        1: f'so token = "{HEX}" of', 2: f"fixed in commit {HEX} of", 3: None, 4: "", 5: "erthandntreelyerthandntreely words",
+        6: f'é{"x" * 9} TOKEN = "{HEX.upper()}"!! and api_key: "{HEX[::-1]}"', 7: HEX, 8: 'password = "your_password_here1"',
+        9: ("word " * 20_000) + f'token = "{HEX}" ' + "word " * 20_000, 10: f'token = "{HEX}"### secret = "{HEX}"###'}
+    got = judged(spark, forest, [(k, v, "src1") for k, v in texts.items()] + [(None, texts[1], None), (1, texts[1], "src1")])
+    sure = {k: [texts[1 if k is None else k][f.start:f.end] for f in r.findings if f.score >= secrets.SURE] for k, r in got.items()}
+    assert sure[1] == [HEX] == sure[None] and sure[9] == [HEX] and sure[10] == [HEX, HEX]
+    assert sure[2] == sure[3] == sure[4] == sure[5] == sure[8] == []
+    assert sure[6] == [HEX.upper(), HEX[::-1]]
+    for k, r in got.items():
+        assert all((texts[1 if k is None else k])[f.start:f.end] == f.value for f in r.findings)
+        assert [f.start for f in r.findings] == sorted(f.start for f in r.findings)
+
+
+def test_redaction(spark, forest):
+    texts = [f'a token = "{HEX}" b', "clean text", None, "", f'token = "{HEX}" api_key = "{HEX[::-1]}"', f"sha256: {HEX}"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").selectExpr("*", "5 AS findings_", "6 AS f")
+    out = {r.doc_id: r for r in secrets.redact(df, forest).collect()}
+    assert out[0].text == 'a token = "[SECRET]" b' and out[0].f == 6
+    assert out[4].text == 'token = "[SECRET]" api_key = "[SECRET]"'
+    assert [out[i].text for i in (1, 2, 3, 5)] == [texts[i] for i in (1, 2, 3, 5)]
+    assert secrets.redact(df.limit(0), forest).collect() == []
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op5_secrets"](spark, folder).collect()
+    planted = {(d, m.start(1), m.end(1)) for d, t in docs.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    assert planted and planted == {(r.doc_id, r.start, r.end) for r in rows if r.secret}
+    assert {(d, m.start(), m.end()) for d, t in docs.items() for m in RUN.finditer(t)} <= {(r.doc_id, r.start, r.end) for r in rows}
