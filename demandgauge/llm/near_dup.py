@@ -12,8 +12,8 @@
 4. Each block is compared exactly on full sets, in one sparse product, and gives one link per
    text at most (to the least text of its group within the block).  No pairs are listed.
 5. The exact rest: what shares a region larger than a block, but is still in different components,
-   is compared in block pairs: the texts outside the main component of such a cluster against
-   all of its texts.  So adaptive depth loses no link; memory stays at two blocks.
+   is compared in pairs of blocks of ``WIDE`` texts of like size: those outside the main component of such a
+   cluster against all of its texts.  So adaptive depth loses no link; memory stays at two blocks.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; texts shorter
 than a shingle are one shingle as a whole; rows with a null id are kept, unlinked, with a null
@@ -22,6 +22,7 @@ component; rows that repeat an id count as one document and are all kept if it i
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -36,7 +37,7 @@ from demandgauge.llm.shared import row_key, write_once
 
 VALUES, TREES, BASE = 64, 16, 4
 DEPTHS = (8, 16, 64)
-BLOCK = 128
+BLOCK, WIDE = 128, 512
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNED = "struct<n:bigint,d1:bigint,d2:bigint,signature:array<int>>"
 
@@ -191,8 +192,8 @@ def near_duplicates(
         .select("_k1", "_k2", "id", "s.*"), "signed")
     classes = write_once(
         signed.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2")
-        .agg(F.min(F.struct("id", "_k1", "_k2")).alias("m"), F.first("signature").alias("signature"))
-        .select("d1", "d2", F.col("m.id").alias("node"), F.col("m._k1").alias("_k1"), F.col("m._k2").alias("_k2"), "signature"), "classes")
+        .agg(F.min(F.struct("id", "_k1", "_k2")).alias("m"), F.first("signature").alias("signature"), F.max("n").alias("n"))
+        .select("d1", "d2", "n", F.col("m.id").alias("node"), F.col("m._k1").alias("_k1"), F.col("m._k2").alias("_k2"), "signature"), "classes")
     blocks = _blocks(classes)
     sets = _sets(docs, blocks, k, doc_id, text)
     links = blocks.select("block", "node").join(sets, "node").groupBy("block").applyInPandas(_within(share), "a bigint, b bigint")
@@ -201,7 +202,7 @@ def near_duplicates(
     found = components(links)
     large = blocks.filter(f"size > {BLOCK}")
     if large.limit(1).count():
-        rest = write_once(_rest(large, found, sets, share), "links")
+        rest = write_once(_rest(large, classes, found, sets, share), "links")
         if rest.limit(1).count():
             found = components(links.unionByName(rest))
     named = classes.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("comp", "node").alias("component"))
@@ -249,29 +250,38 @@ def _sets(docs: DataFrame, blocks: DataFrame, k: int, doc_id: str, text: str) ->
         .select("node", _setter(k)(F.col("_text")).alias("shingles")), "sets")
 
 
-def _rest(large: DataFrame, found: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Links between different components among texts that share a region larger than a block."""
+def _rest(large: DataFrame, classes: DataFrame, found: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links between different components among texts that share a region larger than a block.
+
+    Texts are compared within a band of set sizes and the two next to it: linked sets differ by less in size.
+    """
     hubs = large.groupBy("region").agg(F.min("node").alias("hub"))
     clusters = components(
         large.join(hubs, "region").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     ).withColumnRenamed("comp", "cluster")
+    band = F.floor(F.log("n") / (1.001 * math.log(share[1] / share[0]))).cast("int")
+    sizes = classes.groupBy("node").agg(F.max("n").alias("n"))
     placed = write_once(
-        clusters.join(found, "node", "left").select("cluster", "node", F.coalesce("comp", "node").alias("comp")), "clusters")
-    sizes = placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+        clusters.join(found, "node", "left").join(sizes, "node")
+        .select("cluster", "node", F.coalesce("comp", "node").alias("comp"), band.alias("band")), "clusters")
     main = (
-        sizes.groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"))
-        .select("cluster", F.col("top.comp").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"),
-                F.ceil((F.col("size") - F.col("top.n")) / BLOCK).cast("int").alias("n_chunks"))
-        .filter("n_chunks > 0")
+        placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("top")).select("cluster", F.col("top.comp").alias("main"))
+    )
+    minor = placed.join(main, "cluster").filter("comp <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    parts = (
+        placed.withColumn("of", F.lit(1)).withColumn("less", F.lit(0))
+        .unionByName(minor.select("cluster", "node", "comp", "band", F.lit(0).alias("of"), F.lit(1).alias("less")))
+        .groupBy("cluster", "band").agg(F.ceil(F.sum("of") / WIDE).cast("int").alias("n_blocks"), F.ceil(F.sum("less") / WIDE).cast("int").alias("n_chunks"))
+        .filter("n_blocks > 0 AND n_chunks > 0")
     )
-    placed = placed.join(main, "cluster")
     spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = placed.withColumn("block", spread("n_blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    minor = placed.filter("comp <> main").withColumn("chunk", spread("n_chunks")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    columns = ["cluster", "block", "chunk", "node", "comp"]
-    rows = every.select(*columns, F.lit(False).alias("minor")).unionByName(minor.select(*columns, F.lit(True).alias("minor")))
-    return rows.join(sets, "node").groupBy("cluster", "block", "chunk").applyInPandas(_between(share), "a bigint, b bigint")
+    counted = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cluster", "band", "block", "chunk", "node", "comp"]
+    every = placed.join(parts, ["cluster", "band"]).withColumn("block", spread("n_blocks")).withColumn("chunk", counted("n_chunks"))
+    small = minor.join(parts, ["cluster", "band"]).withColumn("chunk", spread("n_chunks")).withColumn("block", counted("n_blocks"))
+    rows = every.select(*columns, F.lit(False).alias("minor")).unionByName(small.select(*columns, F.lit(True).alias("minor")))
+    return rows.join(sets, "node").groupBy("cluster", "band", "block", "chunk").applyInPandas(_between(share), "a bigint, b bigint")
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

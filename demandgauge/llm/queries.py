@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgauge.llm import bpe, decontaminate, id_files, licenses, near_dup, quality_rules, secrets, url_filter
+from demandgauge.llm import bpe, decontaminate, id_files, licenses, near_dup, pii, quality_rules, secrets, url_filter
 from demandgauge.session import working_folder
 from demandgauge.llm.shared import table, write_once
 
@@ -100,5 +100,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("f.value", 256).alias("value_sha256"), "f.score", (F.col("f.score") >= secrets.SURE).alias("secret"))
 
 
-QUERIES = {"op5_secrets": op5_secrets, "op9_licenses": op9_licenses, "op7_id_files": op7_id_files, "op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finder = pii.Finder(spark)
+    found = table(spark, sf_dir, "documents").select("doc_id", finder.spans(F.col("text")).alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS[:pii.N_BASE]))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS[:pii.N_BASE]]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op8_pii": op8_pii, "op5_secrets": op5_secrets, "op9_licenses": op9_licenses, "op7_id_files": op7_id_files, "op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
 ORACLE = {"op2_url_filter": _OP2}

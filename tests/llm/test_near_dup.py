@@ -59,6 +59,7 @@ def made(seed, n_hot):
 
 @pytest.mark.parametrize("k, share", [(3, (85, 100)), (5, (80, 100))])
 def test_against_brute_force(spark, monkeypatch, k, share):
+    monkeypatch.setattr(near_dup, "WIDE", 16)
     monkeypatch.setattr(near_dup, "BLOCK", 8)  # so that regions are taken apart and the exact rest has work
     docs = made(k, 90)
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
