@@ -14,6 +14,8 @@ an id that the vocabulary lacks raises an error.
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,36 @@ class _Numbers(dict):
         return n
 
 
+class Pieces:
+    """Encodes texts piece by piece and remembers the ids of pieces met before."""
+
+    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        """``encode``: pieces -> their ids, one after another, and how many each has."""
+        self.find, self.encode = regex.compile(pattern).findall, encode
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ids, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where those of each begin."""
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        number, find = self.numbers.__getitem__, self.find
+        found = [list(map(number, find(t))) for t in texts]
+        if len(self.numbers) > len(self.sizes):
+            ids, sizes = self.encode(list(self.numbers)[len(self.sizes):])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        starts = np.cumsum(self.sizes) - self.sizes
+        per_text = np.array([len(x) for x in found], dtype=np.int64)
+        pieces = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(per_text.sum()))
+        sizes = self.sizes[pieces]
+        ends = np.cumsum(sizes)
+        borders = np.concatenate([[0], np.cumsum(per_text)])
+        return self.ids[gather(starts[pieces], sizes, ends)], np.concatenate([[0], ends])[borders]
+
+
 class Pairs:
     """(left id, right id) -> id of the merged token, in an open-addressing table."""
 
@@ -77,7 +109,6 @@ class Pairs:
 class Vocabulary:
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
-        self.pattern = regex.compile(pattern)
         split = [(self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t))
                  if t[:i] in self.ranks and t[i:] in self.ranks]
         self.pairs = Pairs(*np.array(split, dtype=np.int64).reshape(-1, 3).T)
@@ -89,32 +120,7 @@ class Vocabulary:
             self.lengths[n], token[n] = len(t), t
         self.flat = np.frombuffer(b"".join(token), dtype=np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.known = [np.zeros(0, dtype=np.int32)]  # ids of all numbered pieces, one after another
-        self.sizes = np.zeros(0, dtype=np.int64)
-
-    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and where those of each begin."""
-        if len(self.numbers) > REMEMBERED:
-            self._forget()
-        number, find = self.numbers.__getitem__, self.pattern.findall
-        found = [list(map(number, find(t))) for t in texts]
-        if len(self.numbers) > len(self.sizes):
-            fresh = [p.encode() for p in list(self.numbers)[len(self.sizes):]]
-            ids, sizes = self.merge(fresh)
-            self.known = [np.concatenate([*self.known, ids])]
-            self.sizes = np.concatenate([self.sizes, sizes])
-        starts = np.cumsum(self.sizes) - self.sizes
-        per_text = np.array([len(x) for x in found], dtype=np.int64)
-        pieces = np.fromiter((n for x in found for n in x), dtype=np.int64, count=int(per_text.sum()))
-        sizes = self.sizes[pieces]
-        ends = np.cumsum(sizes)
-        ids = self.known[0][gather(starts[pieces], sizes, ends)]
-        borders = np.concatenate([[0], np.cumsum(per_text)])
-        return ids, np.concatenate([[0], ends])[borders]
+        self.encode_batch = Pieces(pattern, lambda pieces: self.merge([p.encode() for p in pieces])).encode_batch
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces, one after another, and how many each has."""

@@ -20,14 +20,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandgauge.llm import words as W
+from demandgauge.llm.bpe import Pieces
 
 BLOCK, STEP = 1 << 16, 256
 _BLOCKS = ("part int, block int, start bigint, doc_ids array<bigint>, sizes array<int>, n bigint, payload binary, "
@@ -36,37 +38,47 @@ _BLOCKS = ("part int, block int, start bigint, doc_ids array<bigint>, sizes arra
 
 # --- tokens -------------------------------------------------------------------------------------
 
-_loaded: dict[int, object] = {}
+_loaded: dict[tuple[int, str], tuple[int, Pieces]] = {}
 
 
-def tokenizer_ids(spark: SparkSession, tokenizer_file: str, end_id: int):
+def tokenizer_ids(spark: SparkSession, tokenizer_file: str, end_id: int, pattern: str):
     """A column function: text -> ids as packed little-endian numbers (see ``number``), ``end_id`` last.
 
-    Strings of special tokens in a text are ordinary text.
+    ``pattern`` is the one by which the tokenizer cuts texts; no token goes beyond a piece, so the library
+    encodes each different piece once per worker.  Strings of special tokens in a text are ordinary text.
     """
     with open(tokenizer_file, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        tokenizer, out = _tokenizer(content), []
-        kind = number(max(tokenizer.get_vocab_size(), end_id + 1))
+        size, pieces = _tokenizer(content, pattern)
+        kind, out = number(max(size, end_id + 1)), []
+        end = np.array([end_id], dtype=kind).tobytes()
         for part in W.slices(texts):
-            for found in tokenizer.encode_batch_fast([t or "" for t in part.to_pylist()], add_special_tokens=False):
-                out.append(np.array([*found.ids, end_id], dtype=kind).tobytes())
+            ids, borders = pieces.encode_batch([t or "" for t in part.to_pylist()])
+            ids = ids.astype(kind)
+            out += [ids[a:b].tobytes() + end for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
         return pa.array(out, pa.binary())
     return encode
 
 
-def _tokenizer(content: Broadcast):
-    key = hash(content.value)
+def _tokenizer(content: Broadcast, pattern: str) -> tuple[int, Pieces]:
+    """Built once per worker process."""
+    key = (hash(content.value), pattern)
     if key not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        tokenizer = Tokenizer.from_str(content.value.decode())
+        tokenizer.encode_special_tokens = True
+
+        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64)
+
         _loaded.clear()
-        _loaded[key] = Tokenizer.from_str(content.value.decode())
-        _loaded[key].encode_special_tokens = True
+        _loaded[key] = (tokenizer.get_vocab_size(), Pieces(pattern, encode))
     return _loaded[key]
 
 
@@ -231,23 +243,21 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): ``start`` counts the ids of all documents before, ``ids`` are packed unsigned 32-bit numbers."""
     blocks = spark.read.parquet(f"{path}/blocks")
     lengths = np.frombuffer(spark.read.parquet(f"{path}/code").head()["lengths"], dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(lengths)
+    # One number per part, as many as the writing job had partitions.
+    sums = sorted(blocks.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    before = dict(zip((p for p, _ in sums), np.cumsum([0, *(n for _, n in sums)]).tolist(), strict=False))
+    shared = spark.sparkContext.broadcast((lengths, before))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(shared.value)
+        lengths, before = shared.value
+        table = Table(lengths)
         for batch in batches:
             for row in batch.to_pylist():
                 ids = table.unpack(row["payload"], np.array(row["checkpoints"], dtype=np.int64), row["n"])
                 ends = np.cumsum(row["sizes"])
                 runs = np.split(ids.astype("<u4"), ends[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]] * len(ends), pa.int32()), pa.array(row["doc_ids"], pa.int64()),
-                     pa.array(row["start"] + ends - row["sizes"], pa.int64()), pa.array([x.tobytes() for x in runs], pa.binary())],
-                    ["part", "doc_id", "start", "ids"])
-
-    docs = blocks.mapInArrow(documents, "part int, doc_id bigint, start bigint, ids binary")
-    # One row per part, as many as the writing job had partitions.
-    per_part = blocks.groupBy("part").agg(F.sum("n").alias("n"))
-    before = per_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return docs.join(before, "part").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "ids")
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(before[row["part"]] + row["start"] + ends - row["sizes"], pa.int64()),
+                     pa.array([x.tobytes() for x in runs], pa.binary())], ["doc_id", "start", "ids"])
 
+    return blocks.mapInArrow(documents, "doc_id bigint, start bigint, ids binary")

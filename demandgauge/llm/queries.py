@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgauge.llm import bpe, decontaminate, id_files, licenses, near_dup, pii, quality_rules, secrets, url_filter
+from demandgauge.llm import bpe, decontaminate, id_files, licenses, near_dup, pii, quality_model, quality_rules, secrets, url_filter
 from demandgauge.session import working_folder
 from demandgauge.llm.shared import table, write_once
 
@@ -76,8 +76,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = public_tokenizers.path("byte_bpe_50k.json")
-    encode = id_files.tokenizer_ids(spark, file, end_id=2)
-    ids = write_once(table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text")).alias("ids")), "ids")
+    encode = id_files.tokenizer_ids(spark, file, end_id=2, pattern=public_tokenizers.PATTERN)
+    ids = write_once(table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text")).alias("ids")), "ids", "zstd")
     path = os.path.join(working_folder(spark), f"id-files-{uuid.uuid4().hex}")
     id_files.write_ids(ids, path, id_files.vocabulary_size(file))
     return id_files.read_ids(spark, path).select(
@@ -109,5 +109,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op8_pii": op8_pii, "op5_secrets": op5_secrets, "op9_licenses": op9_licenses, "op7_id_files": op7_id_files, "op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return quality_model.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic", "kept")
+
+
+QUERIES = {"op1_quality_model": op1_quality_model, "op8_pii": op8_pii, "op5_secrets": op5_secrets, "op9_licenses": op9_licenses, "op7_id_files": op7_id_files, "op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
 ORACLE = {"op2_url_filter": _OP2}

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from demandgauge.session import working_folder
 
 
-def write_once(df: DataFrame, label: str) -> DataFrame:
+def write_once(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and go on from there: no recomputation, lineage cut, sizes known to Spark."""
     path = os.path.join(working_folder(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

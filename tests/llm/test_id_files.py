@@ -72,8 +72,11 @@ def test_query(spark):
 
 def test_edge_rows(spark, tmp_path):
     docs = [(None, "no id"), (-5, "first"), (1, None), (2, ""), (3, "word " * 40_000), (4, "<|endoftext|>"), (5, "same"), (5, "same")]
+    rnd = random.Random(8)
+    docs += [(10 + i, "".join(rnd.choice("ab é'stdm\n\t  \u00a0\u3000漢字12.,!?😀-") for _ in range(rnd.randrange(1, 200)))) for i in range(300)]
+    docs += [(400 + i, "".join(chr(rnd.randrange(1, 0xD000)) for _ in range(60))) for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).selectExpr("*", "1 AS start", "2 AS part")
-    encode = id_files.tokenizer_ids(spark, P.path("byte_bpe_50k.json"), 2)
+    encode = id_files.tokenizer_ids(spark, P.path("byte_bpe_50k.json"), 2, P.PATTERN)
     id_files.write_ids(df.select("doc_id", "start", "part", encode(df["text"]).alias("ids")), str(tmp_path / "a"), 50257)
     got = sorted(((r.doc_id, r.start, len(r.ids) // 4, zlib.crc32(r.ids)) for r in id_files.read_ids(spark, str(tmp_path / "a")).collect()), key=lambda r: r[1])
     assert got == expected(docs)
