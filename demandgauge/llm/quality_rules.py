@@ -35,8 +35,9 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(whole, r"[\x20\x09-\x0D]+"), "")
     # Every array that is read more than once is a column of its own, so that it is computed once.
-    return (
-        docs.drop(*COUNTS).withColumn("_text", whole)
+    given = docs.drop(*COUNTS)
+    counted = (
+        given.withColumn("_text", whole)
         .withColumn("_words", words)
         .withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.trim(x, F.lit(_SPACE)) != ""))
         .withColumn("_windows", F.expr("""
@@ -53,8 +54,10 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
             F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
         .drop("_windows")
         .withColumn("n_repeat_words", F.coalesce(_repeat_words(), F.lit(0)).cast("bigint"))
-        .drop("_pairs")
     )
+    # The counts leave through a generator of one row: a later filter on them cannot be moved below it, where
+    # the arrays would be written out into it and built anew for every element.
+    return counted.select(*given.columns, F.inline(F.array(F.struct(*COUNTS, "_n_lines"))))
 
 
 def _repeat_words() -> Column:

@@ -4,7 +4,7 @@ import corpus_pipeline as P
 from tests.llm import test_bpe, test_decontaminate, test_near_dup
 from tests.llm.test_near_dup import shingles
 
-FOLDER = "/root/testdata/sf0.01"
+FOLDER = "/root/testdata/sf0.001"
 
 
 def base_failed(text):
@@ -51,5 +51,5 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 
 
 def test_run(spark):
-    out = P.run(spark, "/root/testdata/sf0.001")
+    out = P.run(spark, FOLDER)
     assert out.count() > 0 and {"doc_id", "text", "ids", "n_tokens"} <= set(out.columns)
