@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def to_double(c: Column) -> Column:
-    """Number or NULL; NaN counts as missing so that it cannot poison sums."""
-    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+    """Number or NULL; NaN counts as missing so that it cannot poison sums.
+
+    Text must look like a number as a whole: a cast alone would also read ``12d`` and ``7f``.
+    """
+    text = c.cast("string")
+    infinite = text.rlike(r"(?i)^\s*[+-]?inf(inity)?\s*$")
+    return F.when(text.rlike(_NUMBER) | infinite, F.nanvl(c.try_cast("double"), F.lit(None).cast("double")))
 
 
 def ratio_or_null(n: Column, d: Column) -> Column:

@@ -14,14 +14,20 @@ _CLOCK = r"^(?:\d+ days?,? )?\d+:\d{1,2}:\d{1,2}(?:\.\d+)?$"
 
 
 def parse_uk_timestamp(c: Column) -> Column:
-    """Day-first dates, else year-first ISO text; anything else is NULL.
+    """Day-first dates (also with AM/PM or a month name), else year-first text; anything else is NULL.
 
     Year-first text is never read day-first, so ``2024-03-04`` is 4 March.
     """
     text = strip(c.cast("string"))
     slashed = F.rtrim(F.regexp_replace(text, _DAY_FIRST, "$1/$2/$3 "))
     full_year = F.regexp_replace(slashed, _SHORT_YEAR, "$120$2")
-    return F.when(text.rlike(_YEAR_FIRST), text.try_cast("timestamp")).otherwise(
+    dashed = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/", "$1-$2-")
+    # Month names: first letter large, the others small, three letters; AM and PM in capitals.
+    named = F.regexp_replace(F.initcap(F.regexp_replace(text, "[-,. ]+(?=[A-Za-z0-9])", " ")), r"\b([A-Z][a-z]{2})[a-z]*\b", "$1")
+    half_day = F.upper(F.regexp_replace(full_year, r"\s*([AaPp])\.?[Mm]\.?$", " $1M"))
+    return F.when(dashed.rlike(_YEAR_FIRST), dashed.try_cast("timestamp")).when(
+        text.rlike(r"(?i)\d\s*[ap]\.?m\.?$"), F.try_to_timestamp(half_day, F.lit("d/M/yyyy h:mm[:ss] a"))).when(
+        text.rlike(r"^\d{1,2}[- ][A-Za-z]{3,9}[-, ]+\d{4}\b"), F.try_to_timestamp(named, F.lit("d MMM yyyy[ H:mm[:ss]]"))).otherwise(
         F.try_to_timestamp(full_year, F.lit("d/M/yyyy[ H:mm[:ss[.SSSSSS]]]")))
 
 
@@ -36,7 +42,8 @@ def duration_minutes(c: Column) -> Column:
     days = F.when(text.contains("day"), F.substring_index(text, " ", 1).cast("double")).otherwise(0.0)
     seconds = (
         days * 86400 + clock[0].cast("double") * 3600 + clock[1].cast("double") * 60 + clock[2].cast("double"))
-    return F.coalesce(to_double(text), F.when(text.rlike(_CLOCK), seconds)) / 60
+    number = F.when(~text.rlike("(?i)inf"), to_double(text))
+    return F.coalesce(number, F.when(text.rlike(_CLOCK), seconds)) / 60
 
 
 def add_minutes(ts: Column, minutes: Column) -> Column:

@@ -21,7 +21,21 @@ _TAGS = r"(?s)<!--.*?-->|<[^>]*>"
 _ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
 
 
+_NUMERIC = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def _numeric_entities(c: Column) -> Column:
+    """Numeric character references as their characters; decoded where there are any, piece by piece."""
+    codes = F.regexp_extract_all(c, F.lit(_NUMERIC), F.lit(1))
+    number = lambda x: F.when(F.lower(x).startswith("x"), F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).cast("int")
+    char = lambda n: F.when(n == 160, F.lit(" ")).when((n > 0) & (n < 0x110000), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit(""))
+    decoded = F.array_join(F.flatten(F.zip_with(
+        F.split(c, _NUMERIC), codes, lambda piece, code: F.array(piece, F.coalesce(char(number(code)), F.lit(""))))), "")
+    return F.when(c.rlike(_NUMERIC), decoded).otherwise(c)
+
+
 def _unescape(c: Column) -> Column:
+    c = _numeric_entities(c)
     for entity in ["&lt;", "&gt;", "&quot;", "&#39;", "&nbsp;", "&amp;"]:
         c = F.replace(c, F.lit(entity), F.lit(_ENTITIES[entity]))
     return c
@@ -52,7 +66,8 @@ def extract_links(pages: DataFrame) -> DataFrame:
     ``heading_year`` comes from the nearest heading (h2-h4) above that names a year.
     ``text`` is trimmed and lower-cased, without inner tags.
     """
-    sections = pages.select("page_id", F.posexplode(_year_sections(F.col("html"))).alias("section_no", "section"))
+    html = F.regexp_replace("html", "(?s)<!--.*?-->", "")
+    sections = pages.select("page_id", F.posexplode(_year_sections(html)).alias("section_no", "section"))
     found = computed_once(sections, {
         "heading_year": F.regexp_extract("section", "^(20\\d{2})\u0002", 1).try_cast("int"),
         "links": F.regexp_extract_all("section", F.lit(_LINK), F.lit(0)),

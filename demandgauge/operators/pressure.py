@@ -12,7 +12,7 @@ from ..functions.text import postcode_area
 from ..functions.times import end_or_planned, hours_between, hours_between_seconds
 from ..session import materialise
 from .metrics import RunMetrics
-from .ranking import percentiles_for, with_percentiles
+from .ranking import with_percentiles
 from .sweep import saturated_hours
 
 _REFERENCE_COLUMNS = ["n_connectors", "site_name", "postcode", "latitude", "longitude"]
@@ -164,7 +164,7 @@ def pressure_index(
     points = metrics.watch(cp_metrics(sessions, connectors), "measured")
     kept = metrics.watch(rankable(points, min_sessions), "rankable")
     measured = materialise(kept, "cp_metrics")
-    ranked = rank_points(measured, weights, percentiles_for(measured.count()))
+    ranked = rank_points(measured, weights)
     return ranked.withColumn("postcode_area", postcode_area(F.col("postcode")))
 
 

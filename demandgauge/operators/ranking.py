@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
 
-ONE_TASK_ROWS = 1_000_000
 _COARSE = float(2 ** 10)
 _FINE = float(2 ** 31)
 
@@ -108,38 +107,6 @@ def with_percentiles(
     return out
 
 
-def with_percentiles_by_window(
-    df: DataFrame,
-    cume: dict[str, str] | None = None,
-    average: dict[str, str] | None = None,
-    descending: dict[str, str] | None = None,
-) -> DataFrame:
-    """The same ranks with plain windows over all rows: one task, for tables of checked size."""
-    def ascending(c: str):
-        return Window.orderBy(F.col(c).asc_nulls_first())
-
-    for c, new in (cume or {}).items():
-        df = df.withColumn(new, F.cume_dist().over(ascending(c)))
-    for c, new in (average or {}).items():
-        ties = F.count(F.lit(1)).over(Window.partitionBy(c))
-        place = F.rank().over(Window.orderBy(F.col(c).asc_nulls_last())) + (ties - 1) / F.lit(2.0)
-        known = F.count(c).over(Window.partitionBy())
-        df = df.withColumn(new, F.when(F.col(c).isNotNull(), place / known))
-    for c, new in (descending or {}).items():
-        df = df.withColumn(
-            new, F.rank().over(Window.orderBy(F.col(c).desc_nulls_last())).cast("long"))
-    return df
-
-
-def percentiles_for(n_rows: int):
-    """The ranking function for a table of ``n_rows`` rows.
-
-    A single sorted task is fastest while the table is small; beyond the limit the nested
-    form takes over.  Both give the same result.
-    """
-    return with_percentiles_by_window if n_rows <= ONE_TASK_ROWS else with_percentiles
-
-
 def _clean(c: Column) -> Column:
     """As double, with NaN as NULL and -0.0 as 0.0 so that grouping and joining agree."""
     number = c.cast("double")

@@ -9,7 +9,7 @@ from ..functions.numbers import capped, ratio_or_zero
 from ..functions.text import lookup
 from ..session import materialise
 from .pressure import weighted_score
-from .ranking import percentiles_for, with_percentiles
+from .ranking import with_percentiles
 
 _SUMMED = [
     "n_connectors", "total_sessions", "total_energy_kwh", "occupied_hours",
@@ -76,7 +76,7 @@ def site_view(index: DataFrame, weights: dict[str, float] | None = None) -> Data
     The rolled-up sites are written once, because ranking reads them several times.
     """
     rolled = materialise(site_rates(site_rollup(index)), "sites")
-    return rank_sites(rolled, weights, percentiles_for(rolled.count()))
+    return rank_sites(rolled, weights)
 
 
 def located(sites: DataFrame) -> DataFrame:

@@ -13,11 +13,10 @@ from ..session import materialise
 
 LEVELS = 4
 SHRINK = 4
-FEW_PAIRS = 10_000_000
 
 
 def nearest_join(points: DataFrame, references: DataFrame, radius_m: float = K.NEAREST_RADIUS_M,
-                 levels: int | None = None) -> DataFrame:
+                 levels: int = LEVELS) -> DataFrame:
     """Add ``nearest_postcode`` and ``distance_m`` of the nearest reference within the radius.
 
     ``points``: any columns with latitude and longitude.  ``references``: postcode, latitude,
@@ -28,8 +27,7 @@ def nearest_join(points: DataFrame, references: DataFrame, radius_m: float = K.N
     On a grid of cell size c, the nine cells around a point hold every reference within c;
     a point whose best hit lies within c is settled and leaves the search.  In a dense
     town the finest grid already settles it among few candidates, and the coarse grids only
-    see points whose surroundings are empty.  One grid is used when all points times all
-    references are few pairs anyway.  Places next to a pole are out of scope.
+    see points whose surroundings are empty.  Places next to a pole are out of scope.
     """
     open_points = materialise(
         points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
@@ -37,8 +35,6 @@ def nearest_join(points: DataFrame, references: DataFrame, radius_m: float = K.N
     sites = materialise(
         references.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
         .groupBy("latitude", "longitude").agg(F.min("postcode").alias("postcode")), "nearest_refs")
-    if levels is None:
-        levels = 1 if open_points.count() * sites.count() <= FEW_PAIRS else LEVELS
     settled = []
     for level in reversed(range(levels)):
         reach = radius_m / SHRINK ** level

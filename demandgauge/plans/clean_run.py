@@ -26,14 +26,14 @@ class CleanReport:
         return self.measures.get("written", {}).get("rows", 0)
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, DataFrame]:
+def read_files(spark: SparkSession, paths: list[str], multi_line: bool = False) -> tuple[DataFrame | None, DataFrame]:
     """Raw rows of all usable files, and (file, reason) of the others."""
     csv = [p for p in paths if p.lower().endswith(".csv")]
     books = [p for p in paths if p.lower().endswith(".xlsx")]
     rows, plans = [], []
     if csv:
         plan = materialise(landing.plan_headers(landing.csv_headers(spark, csv)), "csv_plan")
-        rows.append(landing.read_session_csv(spark, plan))
+        rows.append(landing.read_session_csv(spark, plan, multi_line))
         plans.append(plan.select("path", "reason"))
     if books:
         # Parsed once: both the layouts and the rows are read from the written table.
@@ -49,10 +49,11 @@ def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None,
 
 
 def run_clean(spark: SparkSession, landing_path: str | list[str], table: str, full_refresh: bool = False,
-              against_stored: bool = False, valid_first: bool = False) -> CleanReport:
+              against_stored: bool = False, valid_first: bool = False, multi_line: bool = False) -> CleanReport:
     """Clean the landing files that are not in the table yet, or all of them.
 
-    ``against_stored`` also drops sessions that earlier runs have stored.
+    ``against_stored`` also drops sessions that earlier runs have stored.  ``multi_line`` reads quoted
+    line breaks in CSV cells, at the price of one task per file.
     """
     stored = None if full_refresh else tables.scan_if_exists(spark, table)
     files = landing.unprocessed(landing.list_landing(spark, landing_path), stored)
@@ -63,7 +64,7 @@ def run_clean(spark: SparkSession, landing_path: str | list[str], table: str, fu
     report = CleanReport(files=len(listed), quarantined=empty)
     if not paths:
         return report
-    raw, unusable = read_files(spark, paths)
+    raw, unusable = read_files(spark, paths, multi_line)
     report.quarantined = empty.unionByName(unusable)
     if raw is None:
         return report

@@ -11,7 +11,7 @@ from ..sources import locations as L, tables
 
 
 def run_locations(spark: SparkSession, folder: str, target: str, min_connectors: int = K.MIN_CONNECTORS,
-                  min_locations: int = 0, now: Column | None = None,
+                  min_locations: int = K.MIN_LOCATIONS, now: Column | None = None,
                   postcodes=None, coordinates=None) -> DataFrame:
     """Flatten the newest snapshot and store it, unless it looks incomplete."""
     path = L.latest_snapshot(L.snapshot_files(spark, folder))

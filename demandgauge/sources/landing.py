@@ -185,7 +185,9 @@ def read_session_csv(spark: SparkSession, plan: DataFrame, multi_line: bool = Fa
     """
     layouts: dict[tuple, list[str]] = {}
     for row in plan.where("reason IS NULL").select("path", "utf8", "columns").toLocalIterator():
-        layouts.setdefault((tuple(row.columns), row.utf8), []).append(row.path)
+        # Unknown headers only count by their place, so however many there are, layouts stay few.
+        known = tuple(c if c in RAW_COLUMNS else "" for c in row.columns)
+        layouts.setdefault((known, row.utf8), []).append(row.path)
     parts = [
         read_csv_group(spark, sorted(paths), list(columns), utf8, multi_line)
         for (columns, utf8), paths in sorted(layouts.items())

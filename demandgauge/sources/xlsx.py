@@ -37,8 +37,13 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
 
 
 def workbook_plan(rows: DataFrame) -> DataFrame:
-    """Header layout and quarantine reason per workbook, as for CSV files."""
-    heads = rows.where("row_no = 0").select(
+    """Header layout and quarantine reason per workbook, as for CSV files.
+
+    A defect anywhere in a workbook makes all of it unusable, also rows read before it.
+    """
+    heads = rows.where("row_no = 0").groupBy("path").agg(
+        F.max("error").alias("error"), F.max(F.when(F.col("error").isNull(), F.col("cells"))).alias("cells"),
+    ).select(
         "path", "error",
         F.transform(F.coalesce("cells", F.array().cast("array<string>")),
                     lambda h: F.coalesce(h, F.lit(""))).alias("headers"),
@@ -91,11 +96,7 @@ def sheet_rows(content: bytes) -> Iterator[list]:
         names = set(book.namelist())
         shared = _shared_strings(book) if "xl/sharedStrings.xml" in names else []
         kinds = _cell_kinds(book) if "xl/styles.xml" in names else []
-        sheets = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
-        if not sheets:
-            raise ValueError("workbook has no sheet")
-        first = min(sheets, key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        with book.open(first) as sheet:
+        with book.open(_first_sheet(book, names)) as sheet:
             for _, row in ElementTree.iterparse(sheet):
                 if _tag(row) != "row":
                     continue
@@ -119,6 +120,23 @@ def _column_index(ref: str) -> int:
     return index - 1
 
 
+def _first_sheet(book: zipfile.ZipFile, names: set[str]) -> str:
+    """The sheet that the workbook itself lists first, else the one of the smallest number."""
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        listed = [e for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _tag(e) == "sheet"]
+        targets = {e.get("Id"): e.get("Target", "") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")).iter()}
+        for entry in listed:
+            wanted = next((v for k, v in entry.attrib.items() if k.rpartition("}")[2] == "id"), None)
+            target = targets.get(wanted, "")
+            name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if name in names:
+                return name
+    sheets = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+    if not sheets:
+        raise ValueError("workbook has no sheet")
+    return min(sheets, key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+
 def _shared_strings(book: zipfile.ZipFile) -> list[str]:
     root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
     return ["".join(t.text or "" for t in item.iter() if _tag(t) == "t") for item in root]

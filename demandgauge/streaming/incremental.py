@@ -4,23 +4,28 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import basename
 from ..operators.cleaning import clean_sessions, typed_sessions
 from ..plans.clean_run import read_files
-from ..sources.tables import write_sessions
+from ..sources.landing import unprocessed
+from ..sources.tables import scan_if_exists, write_sessions
 
 
 def clean_stream(spark: SparkSession, landing_path: str, table: str, checkpoint: str,
-                 files_per_batch: int | None = None) -> StreamingQuery:
+                 files_per_batch: int | None = None, quarantine: str | None = None, multi_line: bool = False) -> StreamingQuery:
     """Clean all files that arrived since the last call, then stop.
 
     Only paths travel through the stream; each batch is cleaned by the same operators as a
-    batch run.  A batch writes to a folder of its own number, so repeating it after a
-    failure replaces its rows instead of adding them again.  Files without valid rows are
-    remembered too and not read again.
+    batch run and appended to the same table in the same layout, so both kinds of run can
+    take turns.  A batch repeated after a failure leaves out the files whose sessions it has
+    already stored.  Files without valid rows are remembered too and not read again; unusable
+    files go with their reason to ``quarantine`` (default: the table's path with ``_quarantined``),
+    one folder per batch, replaced when the batch is repeated.
     """
+    quarantine = quarantine or table.rstrip("/") + "_quarantined"
     reader = spark.readStream.format("binaryFile").schema(
         "path string, modificationTime timestamp, length bigint, content binary")
     if files_per_batch:
@@ -28,11 +33,14 @@ def clean_stream(spark: SparkSession, landing_path: str, table: str, checkpoint:
     arrivals = reader.load(landing_path).select("path").where("lower(path) rlike '[.](xlsx|csv)$'")
 
     def clean_batch(batch: DataFrame, number: int) -> None:
-        paths = sorted(r.path for r in batch.toLocalIterator())
-        raw = read_files(batch.sparkSession, paths)[0] if paths else None
-        if raw is not None:
-            clean = clean_sessions(typed_sessions(raw))
-            write_sessions(clean, os.path.join(table, f"batch={number}"), "overwrite")
+        named = batch.withColumn("file_name", basename(F.col("path")))
+        fresh = unprocessed(named, scan_if_exists(batch.sparkSession, table))
+        paths = sorted(r.path for r in fresh.select("path").toLocalIterator())
+        if paths:
+            raw, unusable = read_files(batch.sparkSession, paths, multi_line)
+            if raw is not None:
+                write_sessions(clean_sessions(typed_sessions(raw)), table, "append")
+            unusable.write.mode("overwrite").parquet(os.path.join(quarantine, f"batch={number}"))
 
     return (
         arrivals.writeStream.foreachBatch(clean_batch)

@@ -97,3 +97,10 @@ def test_harvest(spark):
     assert {r.alert for r in h.alerts.collect()} == {"coverage below 95 %", "2 file downloads failed"}
     by_year = {r.year: r.months for r in B.missing_by_year(h.missing).collect()}
     assert by_year[2022] == "Oct, Nov, Dec" and by_year[2026] == "Jan, Feb, Mar, Apr"
+
+
+def test_entities_and_comments(spark):
+    from demandgauge.operators.catalog import extract_links
+    page = '<!-- <a href="old.csv">gone</a> --><a href="a&#38;b.csv?x=&#x31;">May&#160;Sessions &#128640; &amp;lt;</a>'
+    got = extract_links(spark.createDataFrame([(1, page)], "page_id int, html string")).collect()
+    assert [(r.href, r.text) for r in got] == [("a&b.csv?x=1", "may sessions \U0001F680 &lt;")]

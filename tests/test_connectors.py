@@ -59,7 +59,7 @@ def test_gate_leaves_the_table_alone(spark, tmp_path):
     folder.mkdir()
     snapshot(folder, "2026-02-01")
     target = str(tmp_path / "out")
-    run_locations(spark, str(folder), target, min_connectors=4)
+    run_locations(spark, str(folder), target, min_connectors=4, min_locations=4)
     with pytest.raises(ValueError, match="expected at least 1000"):
         run_locations(spark, str(folder), target)
     assert spark.read.parquet(target).count() == 4

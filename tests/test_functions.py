@@ -82,3 +82,19 @@ def test_json_object_text(spark):
     texts = ['a {"x": {"y": 1}} b', "none", "} {", '{"a": 1} and {"b": 2}', None]
     assert each(spark, texts, X.json_object_text) == [
         '{"x": {"y": 1}}', None, None, '{"a": 1} and {"b": 2}', None]
+
+
+def test_forms_of_dates_and_numbers(spark):
+    from demandgauge.functions.numbers import to_double
+    from demandgauge.functions.times import duration_minutes, parse_uk_timestamp
+    dates = {"25/04/2024 2:05 PM": "2024-04-25 14:05:00", "25/04/2024 12:05:09 am": "2024-04-25 00:05:09", "3 March 2024 09:15": "2024-03-03 09:15:00",
+             "03-Mar-2024": "2024-03-03 00:00:00", "2024/03/04": "2024-03-04 00:00:00", "2024/3/4 07:00:00": "2024-03-04 07:00:00", "31 Foo 2024": None, "12d": None}
+    df = spark.createDataFrame([(k,) for k in dates], "t string")
+    got = {r.t: r.ts for r in df.select("t", parse_uk_timestamp(df.t).alias("ts")).collect()}
+    assert {k: v and str(v) for k, v in got.items()} == dates
+    numbers = {"12d": None, "7f": None, " 1.5 ": 1.5, "-.5e2": -50.0, "1,5": None, "0x1F": None, "": None, "NaN": None, "3.": 3.0}
+    df = spark.createDataFrame([(k,) for k in numbers], "t string")
+    assert {r.t: r.n for r in df.select("t", to_double(df.t).alias("n")).collect()} == numbers
+    seconds = {"90f": None, "Infinity": None, "-inf": None, "90": 1.5, "01:30:00": 90.0}
+    df = spark.createDataFrame([(k,) for k in seconds], "t string")
+    assert {r.t: r.m for r in df.select("t", duration_minutes(df.t).alias("m")).collect()} == seconds
