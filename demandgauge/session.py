@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,23 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "demandgauge
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per session, where they do not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_demandgauge_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="demandgauge-package-"), "demandgauge.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("demandgauge", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._demandgauge_shipped = True
+
+
 def working_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, shared by all executors.
 

@@ -53,7 +53,12 @@ def file_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """File name, size, SHA-256, modification time and first bytes of every file."""
     filled = spark.read.format("binaryFile").load(path)
     empty = empty_files(spark, path).withColumn("content", F.unhex(F.lit("")))
-    return filled.unionByName(empty).select(
+    return manifest_of(filled.unionByName(empty))
+
+
+def manifest_of(files: DataFrame) -> DataFrame:
+    """A9 for files given as rows: path, length, modificationTime, content."""
+    return files.select(
         "path", basename(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"),
         F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("downloaded_at"),
         F.hex(F.substring("content", 1, 4)).alias("first_bytes"),

@@ -345,11 +345,17 @@ def min_rows_gate(spark, d):
 
 
 def _files(spark, d) -> DataFrame:
-    return landing.validate_files(landing.file_manifest(spark, d))
+    """The html of every page as a file: every fifth page as a workbook, and every seventh without content."""
+    pages = I.table(spark, d, "pages").withColumn("n", F.col("page_id") % 35)
+    content = F.when(F.col("n") % 7 == 0, F.lit("")).otherwise(F.coalesce("html", F.lit(""))).cast("binary")
+    name = F.concat(F.lit("in/page "), F.col("page_id"), F.when(F.col("n") % 5 == 0, ".xlsx").otherwise(".csv"))
+    files = pages.select(name.alias("path"), F.octet_length(content).cast("bigint").alias("length"),
+                         F.lit(None).cast("timestamp").alias("modificationTime"), content.alias("content"))
+    return landing.validate_files(landing.manifest_of(files), min_bytes=2000)
 
 
 def file_manifest(spark, d):
-    return _files(spark, d).select("filename", "size_bytes", "sha256")
+    return _files(spark, d).select("filename", "size_bytes", "sha256", "first_bytes")
 
 
 def file_validate(spark, d):
@@ -393,7 +399,19 @@ _HEADER_CASE = "CASE event_id % {n} ".format(n=len(_HEADERS)) + " ".join(
         [name for name, spellings in K.HEADER_SPELLINGS.items() for _ in spellings]
         + ["kwh", "end time", "end_time"])) + " END"
 
+_FILES = """WITH files AS (
+  SELECT 'page ' || page_id || CASE WHEN page_id % 35 % 5 = 0 THEN '.xlsx' ELSE '.csv' END AS filename,
+         encode(CASE WHEN page_id % 35 % 7 = 0 THEN '' ELSE coalesce(html, '') END) AS content FROM pages)"""
+
 ORACLE = {
+    "file_manifest": _FILES + """
+SELECT filename, octet_length(content) AS size_bytes, sha256(content) AS sha256, substr(hex(content), 1, 8) AS first_bytes FROM files""",
+    "file_validate": _FILES + """
+SELECT filename, octet_length(content) AS size_bytes,
+       CASE WHEN octet_length(content) = 0 THEN 'file is empty'
+            WHEN ends_with(filename, '.xlsx') AND substr(hex(content), 1, 8) <> '504B0304'
+            THEN 'not a workbook: invalid magic bytes' END AS error,
+       CASE WHEN octet_length(content) BETWEEN 1 AND 1999 THEN 'file is unusually small' END AS warning FROM files""",
     "canonical_headers": f'SELECT event_id, {_HEADER_CASE} AS "column" FROM events',
     "canonical_ids": _WITH_RAW + " SELECT event_id, copy, p_cp AS cp_id, p_conn AS connector FROM parsed",
     "parse_uk_ts": _WITH_RAW + " SELECT event_id, copy, CAST(epoch_us(p_start) AS VARCHAR) AS start_us FROM parsed",
