@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 TRAINING = 1200
 SURE = 0.5
 _RUN = r"(?<![A-Za-z0-9+/_\-=])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-_ASSIGNED = r"(?<=(?i:passwd|password|secret|token|api_key|apikey)[\"']? ?[:=] ?[\"']?)[^\s\"',;<>#&$*%]{8,}"
+# The short look-behind comes first: it turns most places down before the names are tried.
+_ASSIGNED = r"(?<=[:=\"']|[:=] )(?<=(?i:passwd|password|secret|token|api_key|apikey)[\"']? ?[:=] ?[\"']?)[^\s\"',;<>#&$*%]{8,}"
 CANDIDATE = f"{_RUN}|{_ASSIGNED}"
 _DICTIONARY = (
     "password|example|version|license|public|private|server|client|config|default|test|user|name|file|path|data|index|value|table|query|class|"
