@@ -110,12 +110,13 @@ def pick_preferred(links: DataFrame, keywords: list[str] | None = None,
     form, so no group is ever collected: the first file with both keywords wins; else, with
     one keyword each, the first file of the last-seen kind after the last one of the other
     kind; else the first file of all.  The links are read twice, so they are written once.
+    Other numbers of keywords fold over the files of one page and month.
     """
     words = K.PREFERRED_KEYWORDS if keywords is None else keywords
-    if not 1 <= len(words) <= 2:
-        raise ValueError("one or two keywords are supported")
     by = [*keys, "year", "month"]
     name = F.upper(basename(F.col("href")))
+    if not 1 <= len(words) <= 2:
+        return _fold_preferred(links, by, F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains(name, w)))
     has = [name.contains(w) for w in words] + [F.lit(False)] * (2 - len(words))
     kind = F.when(has[0] & has[1], "both").when(has[0], "one").when(has[1], "two").otherwise("none")
     ranked = materialise(links.select(*by, "pos", "href", kind.alias("kind")), "links")
@@ -143,6 +144,13 @@ def pick_preferred(links: DataFrame, keywords: list[str] | None = None,
     return eligible.groupBy(*by).agg(F.min_by("href", "pos").alias("url"))
 
 
+def _fold_preferred(links: DataFrame, by: list[str], held: Column) -> DataFrame:
+    """The rule of ``pick_preferred`` step by step; ``held`` are the keywords in a file's name."""
+    files = links.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "href", held.alias("held")))).alias("files"))
+    chosen = F.aggregate("files", F.get("files", F.lit(0)), lambda now, f: F.when(F.size(F.array_except(f["held"], now["held"])) > 0, f).otherwise(now))
+    return files.select(*by, chosen["href"].alias("url"))
+
+
 def session_catalog(pages: DataFrame, keywords: list[str] | None = None) -> DataFrame:
     """(page_id, year, month, url) of a table of pages."""
     return pick_preferred(resolve_links(session_links(extract_links(pages))), keywords)
