@@ -95,7 +95,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per candidate of every document; ``secret`` are those that the forest holds for real."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = secrets.find(docs, secrets.Forest(secrets.labelled_findings(spark)))
-    return found.select("doc_id", F.explode("findings").alias("f")).select(
+    # An outer explode: for a plain one Spark filters empty arrays below, writing the whole search out into that filter.
+    return found.select("doc_id", F.explode_outer("findings").alias("f")).filter("f IS NOT NULL").select(
         "doc_id", F.col("f.start").cast("bigint").alias("start"), F.col("f.end").cast("bigint").alias("end"),
         F.sha2("f.value", 256).alias("value_sha256"), "f.score", (F.col("f.score") >= secrets.SURE).alias("secret"))
 
