@@ -129,7 +129,9 @@ def _votes(docs: DataFrame, first_pass: DataFrame, postings: DataFrame, doc_id:
         .withColumn("_have", F.array_intersect("_words", F.transform("ranked", lambda r: r["word"])))
         .withColumn("rare", F.transform(
             F.slice(F.sort_array(F.filter("ranked", lambda r: F.array_contains("_have", r["word"])), asc=False), 1, LOOKED_UP), lambda r: r["word"]))
-        .filter("size(rare) > 0").select("_k1", "_k2", F.explode(place).alias("p")).select("_k1", "_k2", "p.word", "p.i")
+        # An outer explode: for a plain one Spark filters empty arrays below, writing the whole search out into that filter.
+        .select("_k1", "_k2", F.explode_outer(F.when(F.size("rare") > 0, place)).alias("p")).filter("p IS NOT NULL")
+        .select("_k1", "_k2", "p.word", "p.i")
     )
     aligned = (
         spots.join(postings, "word").groupBy("_k1", "_k2", "template", "label", "keys", (F.col("i") - F.col("at")).alias("shift"), "word")
