@@ -67,7 +67,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = table(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
+    encoded = table(spark, sf_dir, "documents").select("doc_id", codec.encode(F.col("text")).alias("ids"))
+    # Through a generator of one row: next to each other, Spark would run encode once for the ids and again inside decode.
+    ids = encoded.select("doc_id", F.inline(F.array(F.struct("ids"))))
     return ids.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
