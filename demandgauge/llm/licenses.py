@@ -122,13 +122,17 @@ def _votes(docs: DataFrame, first_pass: DataFrame, postings: DataFrame, doc_id:
     """(_k1, _k2, more, best): labels and best share of the templates found at one place of a file."""
     # The index words with their IDF are few (INDEXED per template), so each row can carry them.
     ranked = postings.groupBy("word").agg(F.max("weight").alias("weight")).agg(F.collect_list(F.struct("weight", "word"))).scalar()
+    index = postings.groupBy("template").agg(F.collect_set(F.struct("word", "share")).alias("words")).agg(F.collect_list("words")).scalar()
+    # Votes at one place cannot weigh more than all words of the template that the file holds.
+    likely = F.exists("index", lambda words: F.aggregate(
+        words, F.lit(0.0), lambda a, w: a + F.when(F.array_contains("_have", w["word"]), w["share"]).otherwise(F.lit(0.0))) >= SHARE - 1e-9)
     place = F.expr("filter(transform(_words, (w, i) -> named_struct('word', w, 'i', i)), x -> array_contains(rare, x.word))")
     spots = (
         docs.select(*row_key(doc_id, text), F.col(text).alias("_text"))
-        .withColumn("ranked", ranked).withColumn("_words", _words(F.col("_text")))
+        .withColumn("ranked", ranked).withColumn("index", index).withColumn("_words", _words(F.col("_text")))
         .withColumn("_have", F.array_intersect("_words", F.transform("ranked", lambda r: r["word"])))
-        .withColumn("rare", F.transform(
-            F.slice(F.sort_array(F.filter("ranked", lambda r: F.array_contains("_have", r["word"])), asc=False), 1, LOOKED_UP), lambda r: r["word"]))
+        .withColumn("rare", F.when(likely, F.transform(
+            F.slice(F.sort_array(F.filter("ranked", lambda r: F.array_contains("_have", r["word"])), asc=False), 1, LOOKED_UP), lambda r: r["word"])))
         # An outer explode: for a plain one Spark filters empty arrays below, writing the whole search out into that filter.
         .select("_k1", "_k2", F.explode_outer(F.when(F.size("rare") > 0, place)).alias("p")).filter("p IS NOT NULL")
         .select("_k1", "_k2", "p.word", "p.i")
