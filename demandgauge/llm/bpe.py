@@ -29,7 +29,7 @@ from demandgauge.llm import words as W
 NO_RANK = np.iinfo(np.int32).max
 LONG = 256
 #: A worker forgets its pieces beyond this many; they are only a memory of results.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 
 
 class _Numbers(dict):

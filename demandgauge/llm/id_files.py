@@ -74,8 +74,12 @@ def _tokenizer(content: Broadcast, pattern: str) -> tuple[int, Pieces]:
         tokenizer.encode_special_tokens = True
 
         def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64)
+            # Many pieces as the words of one input: the library keeps them apart and says which word an id is of.
+            found = tokenizer.encode_batch(
+                [pieces[i:i + 4096] for i in range(0, len(pieces), 4096)], is_pretokenized=True, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(x.ids for x in found), dtype=np.int32)
+            of = np.fromiter(chain.from_iterable((w + 4096 * i for w in x.word_ids) for i, x in enumerate(found)), dtype=np.int64, count=len(ids))
+            return ids, np.bincount(of, minlength=len(pieces))
 
         _loaded.clear()
         _loaded[key] = (tokenizer.get_vocab_size(), Pieces(pattern, encode))
