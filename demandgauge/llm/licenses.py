@@ -2,7 +2,8 @@
 
 1. Over all documents it is counted how many hold each template word; that gives the IDF of each.
 2. A template is indexed by its ``INDEXED`` words of highest IDF, with their positions.
-3. A file is looked up by its ``LOOKED_UP`` license words of highest IDF: each position in the file joins the
+3. A template is likely in a file that holds its key phrases and enough of its indexed weight anywhere.  A file is
+   looked up by the indexed words of all its likely templates, none left out: each position in the file joins the
    template postings of the word; ``position in file - position in template`` is the same for all
    words of a real copy, so votes are summed per (file, template, difference).
 4. A template with at least ``SHARE`` of its indexed weight at one difference is a match if the
@@ -46,7 +47,7 @@ TEMPLATES = [
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
 ]
 
-INDEXED, LOOKED_UP, SHARE = 8, 12, 0.6
+INDEXED, SHARE = 8, 0.6
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -120,19 +121,20 @@ def _weighted(first_pass: DataFrame, postings: DataFrame) -> DataFrame:
 
 def _votes(docs: DataFrame, first_pass: DataFrame, postings: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(_k1, _k2, more, best): labels and best share of the templates found at one place of a file."""
-    # The index words with their IDF are few (INDEXED per template), so each row can carry them.
-    ranked = postings.groupBy("word").agg(F.max("weight").alias("weight")).agg(F.collect_list(F.struct("weight", "word"))).scalar()
-    index = postings.groupBy("template").agg(F.collect_set(F.struct("word", "share")).alias("words")).agg(F.collect_list("words")).scalar()
-    # Votes at one place cannot weigh more than all words of the template that the file holds.
-    likely = F.exists("index", lambda words: F.aggregate(
-        words, F.lit(0.0), lambda a, w: a + F.when(F.array_contains("_have", w["word"]), w["share"]).otherwise(F.lit(0.0))) >= SHARE - 1e-9)
+    # The index words are few (INDEXED per template), so each row can carry them.
+    index = postings.groupBy("template", "keys").agg(F.collect_set(F.struct("word", "share")).alias("words")).agg(
+        F.collect_list(F.struct("keys", "words"))).scalar()
+    words = postings.agg(F.collect_set("word")).scalar()
+    # Votes at one place cannot weigh more than all words of the template that the file holds, and without its key phrases it is no match.
+    likely = F.filter("index", lambda t: F.forall(t["keys"], lambda k: F.col("_joined").contains(F.concat(F.lit(" "), k, F.lit(" ")))) & (F.aggregate(
+        t["words"], F.lit(0.0), lambda a, w: a + F.when(F.array_contains("_have", w["word"]), w["share"]).otherwise(F.lit(0.0))) >= SHARE - 1e-9))
     place = F.expr("filter(transform(_words, (w, i) -> named_struct('word', w, 'i', i)), x -> array_contains(rare, x.word))")
     spots = (
         docs.select(*row_key(doc_id, text), F.col(text).alias("_text"))
-        .withColumn("ranked", ranked).withColumn("index", index).withColumn("_words", _words(F.col("_text")))
-        .withColumn("_have", F.array_intersect("_words", F.transform("ranked", lambda r: r["word"])))
-        .withColumn("rare", F.when(likely, F.transform(
-            F.slice(F.sort_array(F.filter("ranked", lambda r: F.array_contains("_have", r["word"])), asc=False), 1, LOOKED_UP), lambda r: r["word"])))
+        .withColumn("index", index).withColumn("_words", _words(F.col("_text")))
+        .withColumn("_have", F.array_intersect("_words", words))
+        .withColumn("_joined", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
+        .withColumn("rare", F.array_distinct(F.flatten(F.transform(likely, lambda t: F.transform(t["words"], lambda w: w["word"])))))
         # An outer explode: for a plain one Spark filters empty arrays below, writing the whole search out into that filter.
         .select("_k1", "_k2", F.explode_outer(F.when(F.size("rare") > 0, place)).alias("p")).filter("p IS NOT NULL")
         .select("_k1", "_k2", "p.word", "p.i")

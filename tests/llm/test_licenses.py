@@ -38,6 +38,22 @@ def test_bases_and_templates(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_several_licenses_and_all_words_in_one_file(spark):
+    """A template is found whatever other templates or index words its file holds."""
+    full = {}
+    for label, template, _ in licenses.TEMPLATES:
+        full.setdefault(label, template)
+    groups = [("mit", "bsd"), ("mit", "bsd", "apache-2.0"), ("mit", "bsd", "isc"), ("mit", "bsd", "isc", "mpl-2.0", "gpl-3.0"), tuple(full)]
+    texts = [" and then ".join(full[x] for x in g) for g in groups]
+    every = " ".join(sorted({w for _, t, _ in licenses.TEMPLATES for w in t.split()}) * 2)
+    alone = list(licenses.TEMPLATES)
+    texts += [f"{every} so {t} so {every}" for _, t, _ in alone] + [every] + ["plain words of no note"] * 60
+    got = {r.doc_id: set(r["labels"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, labels in enumerate([*groups, *((label,) for label, _, _ in alone)]):
+        assert set(labels) <= got[i], labels
+    assert got[len(groups) + len(alone)] == set()
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
