@@ -5,7 +5,9 @@ distribution of each; sketches of one language and of all rows are merges of the
 aggregated once.  A rate is out of range above the 3rd quartile plus ``WIDTH`` times the spread
 between the quartiles, but at least ``WIDTH`` times the ``LEAST`` spread, so that groups in which a rate hardly varies
 do not reject on trifles.  Groups of fewer than ``ENOUGH`` rows (many enough for quartiles) use
-their language, small languages use all rows.  A group that is junk for the most part cannot excuse itself:
+their language, small languages use all rows.  The threshold of a language, and of all rows, is the (lower) median over
+its sources, whose smaller ones count together as one: a source has one vote however many rows it holds.  So a source that
+is junk for the most part cannot excuse itself or others, as long as most sources are not like it:
 a threshold is never above the one of its language, nor that above the one of all rows, by more than ``SLACK`` times.
 The thresholds, a few rows, are joined to the documents.
 
@@ -18,6 +20,8 @@ source is a group of its own; one row or many equal rows are judged alike; an em
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,14 +92,23 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -
         "lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(n).alias(n) for n in names))
     sketched = write_once(sketched, "sketches")
 
-    def merged(by: list[str], suffix: str) -> DataFrame:
-        out = sketched.groupBy(*by).agg(F.sum("n").alias(f"n_{suffix}"), *(F.kll_merge_agg_double(n).alias(f"{n}_{suffix}") for n in names))
+    def merged(rows: DataFrame, by: list[str], suffix: str) -> DataFrame:
+        out = rows.groupBy(*by).agg(F.sum("n").alias(f"n_{suffix}"), *(F.kll_merge_agg_double(n).alias(f"{n}_{suffix}") for n in names))
         for n in names:
             low, high = (F.kll_sketch_get_quantile_double(f"{n}_{suffix}", F.lit(q)) for q in (0.25, 0.75))
             out = out.withColumn(f"{n}_{suffix}", high + WIDTH * F.greatest(high - low, F.lit(LEAST[n])))
         return out
 
-    total, by_lang, own = merged([], "all"), merged(["lang"], "lang"), merged(["lang", "source"], "own")
+    def voted(by: list[str], suffix: str) -> DataFrame:
+        """Median over the limits of the sources, the small ones as one."""
+        held = sketched.groupBy(*by, "source").agg(F.sum("n").alias("_held"))
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "source"]))
+        sized = sketched.join(held.withColumnsRenamed({c: f"_{c}" for c in [*by, "source"]}), same).select(*sketched.columns, "_held")
+        sized = sized.withColumn("_small", F.col("_held") < ENOUGH).withColumn("_voter", F.when(~F.col("_small"), F.col("source")))
+        return merged(sized, [*by, "_small", "_voter"], suffix).groupBy(*by).agg(
+            F.sum(f"n_{suffix}").alias(f"n_{suffix}"), *(F.percentile_approx(f"{n}_{suffix}", 0.5, 10_000).alias(f"{n}_{suffix}") for n in names))
+
+    total, by_lang, own = voted([], "all"), voted(["lang"], "lang"), merged(sketched, ["lang", "source"], "own")
     # The limits of all rows are one row: a scalar, not a join.
     every = by_lang.withColumn("_all", total.select(F.struct(*(f"{n}_all" for n in names))).scalar()).withColumnRenamed("lang", "_lang")
     joined = own.join(every, F.col("lang").eqNullSafe(F.col("_lang")))

@@ -52,6 +52,17 @@ def test_limits_follow_the_group(spark):
     assert sum(not kept[i] for i in range(400)) == 0 and sum(not kept[1000 + i] for i in range(900)) == 0
 
 
+def test_junk_source_with_a_third_of_all_rows(spark):
+    """A hot source raises neither its own limit nor those of small groups."""
+    plain = " ".join(f"word{i}" for i in range(80))
+    say = lambda marks: plain + " " + " ".join(["##"] * marks)
+    rows = [(i, say(80), "en", "hot") for i in range(500)] + [(1000 + i, plain, "en", f"s{i % 4}") for i in range(1000)]
+    rows += [(5000, say(80), "en", "new"), (5001, plain, "en", "new"), (5002, say(80), "xx", "new"), (5003, plain, "xx", "new")]
+    kept = {r.doc_id: r.kept for r in Q.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(kept[i] for i in range(500)) and all(kept[1000 + i] for i in range(1000))
+    assert [kept[i] for i in (5000, 5001, 5002, 5003)] == [False, True, False, True]
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
