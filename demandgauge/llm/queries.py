@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgauge.llm import bpe, decontaminate, id_files, licenses, near_dup, pii, quality_model, quality_rules, secrets, url_filter
+from demandgauge.llm import bpe, decontaminate, id_files, licenses, near_dup, pii, quality_model, quality_rules, secrets, token_counts, url_filter
 from demandgauge.session import working_folder
 from demandgauge.llm.shared import table, write_once
 
@@ -18,6 +18,8 @@ URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 ]
+#: Fixed value of the contract: more tokens than this are over the limit.
+OVER = 4096
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,5 +123,12 @@ def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic", "kept")
 
 
-QUERIES = {"op1_quality_model": op1_quality_model, "op8_pii": op8_pii, "op5_secrets": op5_secrets, "op9_licenses": op9_licenses, "op7_id_files": op7_id_files, "op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER).alias("over_limit"))
+
+
+QUERIES = {"op1_quality_model": op1_quality_model, "op8_pii": op8_pii, "op5_secrets": op5_secrets, "op9_licenses": op9_licenses, "op7_id_files": op7_id_files, "op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter,
+           "op13_token_counts": op13_token_counts}
 ORACLE = {"op2_url_filter": _OP2}
