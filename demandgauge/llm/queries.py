@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgauge.llm import bpe, decontaminate, id_files, licenses, near_dup, pii, quality_model, quality_rules, secrets, token_counts, url_filter
+from demandgauge.llm import bpe, decontaminate, dialogue, id_files, licenses, near_dup, pii, quality_model, quality_rules, secrets, token_counts, url_filter
 from demandgauge.session import working_folder
 from demandgauge.llm.shared import table, write_once
 
@@ -123,6 +123,28 @@ def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_quality", "p_toxic", "kept")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The damage of the contract; nulls count as one space."""
+    blank = F.lit(" ")
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank))
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), (F.crc32(key) % 20).alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return rows.filter("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.expr("array_repeat(0, if(kind = 3, 2, 1))")).alias("copy")).drop("copy")
+
+
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = dialogue.repair(damaged(conversations)).withColumnRenamed("conv_id", "of")
+    every = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -130,5 +152,5 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality_model": op1_quality_model, "op8_pii": op8_pii, "op5_secrets": op5_secrets, "op9_licenses": op9_licenses, "op7_id_files": op7_id_files, "op3_bpe": op3_bpe, "op6_quality_rules": op6_quality_rules, "op4_near_dup": op4_near_dup, "op10_decontaminate": op10_decontaminate, "op2_url_filter": op2_url_filter,
-           "op13_token_counts": op13_token_counts}
+           "op12_dialogue": op12_dialogue, "op13_token_counts": op13_token_counts}
 ORACLE = {"op2_url_filter": _OP2}
