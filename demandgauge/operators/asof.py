@@ -31,15 +31,15 @@ def asof_join(
         raise ValueError(f"columns on both sides: {sorted(common)}")
     width = slice_seconds * 1_000_000
     known = (
-        right.na.drop(subset=[*keys, right_time]).withColumn("_us", _micros(right_time))
+        right.na.drop(subset=[*keys, right_time]).withColumn("_us", micros(right_time))
         .groupBy(*keys, "_us").agg(F.max_by(F.struct(*values), F.struct(*(tie or values))).alias("_best"))
         .select(*keys, "_us", F.struct("_us", "_best.*").alias("_value"))
     )
-    asked = left.withColumn("_us", _micros(left_time))
+    asked = left.withColumn("_us", micros(left_time))
     lacking = F.col("_us").isNull()
     for k in keys:
         lacking = lacking | F.col(k).isNull()
-    placed = lambda df, side: df.withColumns({"_side": F.lit(side), "_slice": _slice(F.col("_us"), width)})
+    placed = lambda df, side: df.withColumns({"_side": F.lit(side), "_slice": slice_of(F.col("_us"), width)})
     rows, changes = placed(asked.where(~lacking), _ROW), placed(known, _VALUE)
     cut = [*keys, "_slice"]
     lasts = (
@@ -57,9 +57,11 @@ def asof_join(
     return matched.unionByName(asked.where(lacking).select(*left.columns), allowMissingColumns=True)
 
 
-def _micros(time: str) -> Column:
+def micros(time: str) -> Column:
+    """Microseconds since 1970."""
     return F.unix_micros(F.col(time).cast("timestamp"))
 
 
-def _slice(us: Column, width: int) -> Column:
+def slice_of(us: Column, width: int) -> Column:
+    """The slice of ``width`` microseconds that a time falls into."""
     return F.call_function("div", us - F.pmod(us, F.lit(width)), F.lit(width).cast("bigint"))
