@@ -63,5 +63,5 @@ def micros(time: str) -> Column:
 
 
 def slice_of(us: Column, width: int) -> Column:
-    """The slice of ``width`` microseconds that a time falls into."""
+    """The slice of ``width`` that a time falls into, both in microseconds (or both in seconds)."""
     return F.call_function("div", us - F.pmod(us, F.lit(width)), F.lit(width).cast("bigint"))

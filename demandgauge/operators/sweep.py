@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-_SLICE = 28 * 86400
+SLICE_SECONDS = 28 * 86400
 
 
 def concurrency_changes(sessions: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def concurrency_changes(sessions: DataFrame) -> DataFrame:
             F.struct(end.alias("second"), F.lit(-1).alias("step")),
         )).alias("e"))
     return (
-        steps.select("cp_id", F.expr("e.second div %d" % _SLICE).alias("slice"), "e.second", "e.step")
+        steps.select("cp_id", F.expr("e.second div %d" % SLICE_SECONDS).alias("slice"), "e.second", "e.step")
         .groupBy("cp_id", "slice", "second")
         .agg(F.sum("step").alias("change"))
     )

@@ -40,7 +40,7 @@ def test_hand_sized_cases(spark):
 
 
 def test_long_sessions_cross_slices(spark):
-    part = sweep._SLICE
+    part = sweep.SLICE_SECONDS
     rows = [("a", 100, 10 * part), ("a", 3 * part + 5, 3 * part + 65), ("a", 9 * part, 12 * part)]
     assert saturated(spark, rows, [("a", 2)]) == {"a": 60 + part}
     assert saturated(spark, rows, [("a", 1)]) == {"a": 12 * part - 100}

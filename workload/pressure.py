@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from demandgauge.operators import pressure as P, ranking, sweep
+from demandgauge.plans import sweep_run
+from demandgauge.session import working_folder
 from demandgauge.functions.text import postcode_area as area_of
 
 from . import inputs as I
@@ -110,6 +115,15 @@ def concurrency_profile(spark, d):
     return sweep.seconds_by_level(I.lineitem_sessions(spark, d))
 
 
+def incremental_levels(spark, d):
+    """The concurrency profile in three runs over new files, one of them repeated as after a failure."""
+    items, path = I.lineitem_sessions(spark, d), os.path.join(working_folder(spark), f"sweep-{uuid.uuid4().hex}")
+    file = F.col("l_orderkey") % 12
+    for run, files in ((0, file < 6), (1, file.between(6, 9)), (1, file.between(6, 9)), (2, file > 9)):
+        sweep_run.add_sessions(spark, items.where(files).select("cp_id", "start_time", "end_time"), path, run)
+    return sweep_run.stored_levels(spark, path, 3)
+
+
 def sessions_with_k(spark, d):
     return (
         P.with_k(I.usage_sessions(spark, d), P.cp_reference(I.connectors(spark, d)))
@@ -227,6 +241,7 @@ QUERIES = {
     "saturation_by_cp": saturation_by_cp,
     "saturation_ties": saturation_ties,
     "concurrency_profile": concurrency_profile,
+    "incremental_levels": incremental_levels,
     "sessions_with_k": sessions_with_k,
     "end_filled": end_filled,
     "connector_windows": connector_windows,
@@ -266,6 +281,9 @@ FROM steps JOIN capacity USING (cp_id) GROUP BY cp_id""",
     "concurrency_profile": _ITEM_STEPS + """
 SELECT cp_id, CAST(running AS BIGINT) AS running, CAST(sum(secs) AS BIGINT) AS seconds
 FROM steps GROUP BY ALL""",
+    "incremental_levels": _ITEM_STEPS + """
+SELECT cp_id, CAST(running AS BIGINT) AS running, CAST(sum(secs) AS BIGINT) AS seconds
+FROM steps WHERE running > 0 GROUP BY ALL HAVING sum(secs) > 0""",
     "sessions_with_k": _WITH_METRICS + """
 SELECT cp_id, n_connectors, count(*) AS sessions FROM known GROUP BY ALL""",
     "end_filled": _ALL_FILLED + """
