@@ -7,14 +7,17 @@ come from an open-addressing hash table; finished rows leave the matrix and colu
 Pieces above ``LONG`` bytes go row by row, merging all pairs of the least rank in one round as far as
 that equals merging them one by one.
 
-Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes;
+What a worker remembers is bounded in bytes, long pieces are not remembered, and long texts are worked through in windows.
+
+Defined results: a null text counts as empty; an empty text has no ids and decodes to no bytes; rows that repeat are
+encoded alike, ties do not occur beyond equal ranks at several places (leftmost first); an empty table gives no rows;
 an id that the vocabulary lacks raises an error.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,46 +31,99 @@ from demandgauge.llm import words as W
 
 NO_RANK = np.iinfo(np.int32).max
 LONG = 256
-#: A worker forgets its pieces beyond this many; they are only a memory of results.
-REMEMBERED = 1 << 20
+#: Fixed value: the pattern of the public byte-level vocabularies.
+WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of pieces that a worker remembers (about; only a memory of results), new pieces encoded at once, characters cut at once.
+MEMORY, FLUSH, WINDOW = 3 << 25, 1 << 16, 1 << 20
+_CUT = regex.compile(r"(?<=[^\s\x1c-\x1f\x85\u180e])(?= [\s\S])")
 
 
 class _Numbers(dict):
-    """Gives each new key the next number."""
+    """The number of each piece met; new ones are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
 
-    def __missing__(self, key):
-        n = self[key] = len(self)
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
         return n
 
 
 class Pieces:
-    """Encodes texts piece by piece and remembers the ids of pieces met before."""
+    """Encodes texts piece by piece and remembers the ids of pieces met before, up to ``MEMORY`` bytes.
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        """``encode``: pieces -> their ids, one after another, and how many each has."""
-        self.find, self.encode = regex.compile(pattern).findall, encode
-        self._forget()
+    A text is cut by the pattern, a long one in windows: with ``WORDS_PATTERN`` no match goes on from a character that is no
+    white space to a space, and none looks back, so a text may be cut there.
+    """
 
-    def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.ids, self.sizes = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], bool] | None = None):
+        """``encode``: pieces -> their ids, one after another, and how many each has.  ``whole``: texts that are one piece."""
+        self.find, self.cuts = regex.compile(pattern).findall, pattern == WORDS_PATTERN
+        self.encode, self.whole = encode, whole
+        self.numbers, self.bytes, self.longest = _Numbers(), 0, 0
+        self.ids, self.sizes, self.hits = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where those of each begin."""
-        if len(self.numbers) > REMEMBERED:
-            self._forget()
-        number, find = self.numbers.__getitem__, self.find
-        found = [list(map(number, find(t))) for t in texts]
-        if len(self.numbers) > len(self.sizes):
-            ids, sizes = self.encode(list(self.numbers)[len(self.sizes):])
-            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
-        starts = np.cumsum(self.sizes) - self.sizes
-        per_text = np.array([len(x) for x in found], dtype=np.int64)
-        pieces = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(per_text.sum()))
-        sizes = self.sizes[pieces]
-        ends = np.cumsum(sizes)
-        borders = np.concatenate([[0], np.cumsum(per_text)])
-        return self.ids[gather(starts[pieces], sizes, ends)], np.concatenate([[0], ends])[borders]
+        out, held, owner, sizes = [], [], [], np.zeros(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):
+            for units in self._units(text):
+                held.append(list(map(self.numbers.__getitem__, units)))
+                owner.append(i)
+                if len(self.numbers.fresh) >= FLUSH or len(units) >= FLUSH:
+                    out.append(self._flush(held, owner, sizes))
+        out.append(self._flush(held, owner, sizes))
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _units(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, in windows of about ``WINDOW`` characters."""
+        if self.whole is not None and self.whole(text):
+            yield [text]
+        elif not self.cuts or len(text) <= WINDOW:
+            yield self.find(text)
+        else:
+            at = 0
+            while at < len(text):
+                cut = _CUT.search(text, at + WINDOW)
+                end = cut.start() if cut else len(text)
+                yield self.find(text[at:end])
+                at = end
+
+    def _flush(self, held: list[list[int]], owner: list[int], sizes: np.ndarray) -> np.ndarray:
+        """The ids of what is held; new pieces are encoded."""
+        fresh = self.numbers.fresh
+        if fresh:
+            ids, n = self.encode(fresh)
+            self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.sizes, n])
+            self.bytes += 4 * len(ids) + 200 * len(fresh) + 4 * sum(map(len, fresh))
+            self.longest = max(self.longest, max(map(len, fresh)))
+            self.numbers.fresh = []
+        per = np.array([len(x) for x in held], dtype=np.int64)
+        pieces = np.fromiter(chain.from_iterable(held), dtype=np.int64, count=int(per.sum()))
+        self.hits = np.append(self.hits, np.zeros(len(self.sizes) - len(self.hits), dtype=np.int64)) + np.bincount(pieces, minlength=len(self.sizes))
+        n = self.sizes[pieces]
+        np.add.at(sizes, np.repeat(np.array(owner, dtype=np.int64), per), n)
+        out = self.ids[gather((np.cumsum(self.sizes) - self.sizes)[pieces], n, np.cumsum(n))]
+        held.clear()
+        owner.clear()
+        if self.bytes > MEMORY or self.longest > LONG:
+            self._forget(self.bytes > MEMORY)
+        return out
+
+    def _forget(self, many: bool) -> None:
+        """Long pieces go; if ``many``, so do those met once and the rarer half."""
+        keys = list(self.numbers)  # in the order of their numbers
+        kept = np.argsort(-self.hits, kind="stable")[:len(keys) // 2] if many else np.arange(len(keys))
+        kept = [i for i in kept.tolist() if len(keys[i]) < LONG and (self.hits[i] > 1 or not many)]
+        keys, old = [keys[i] for i in kept], np.array(kept, dtype=np.int64)
+        starts, sizes = (np.cumsum(self.sizes) - self.sizes)[old], self.sizes[old]
+        self.ids, self.sizes, self.hits = self.ids[gather(starts, sizes, np.cumsum(sizes))], sizes, self.hits[old] // 2
+        self.numbers.clear()
+        self.numbers.update((k, i) for i, k in enumerate(keys))
+        self.longest = 0
+        self.bytes = 4 * len(self.ids) + 200 * len(keys) + 4 * sum(map(len, keys))
 
 
 class Pairs:
@@ -120,7 +176,7 @@ class Vocabulary:
             self.lengths[n], token[n] = len(t), t
         self.flat = np.frombuffer(b"".join(token), dtype=np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.encode_batch = Pieces(pattern, lambda pieces: self.merge([p.encode() for p in pieces])).encode_batch
+        self.encode_batch = Pieces(pattern, lambda pieces: self.merge([piece.encode() for piece in pieces])).encode_batch
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces, one after another, and how many each has."""
@@ -239,7 +295,7 @@ class Codec:
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
             vocabulary, parts = _vocabulary(content, pattern), []
-            for part in W.slices(texts):
+            for part in W.slices(texts, WINDOW):
                 ids, borders = vocabulary.encode_batch([t or "" for t in part.to_pylist()])
                 parts.append(pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids)))
             return pa.concat_arrays(parts)

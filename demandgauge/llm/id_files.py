@@ -18,6 +18,7 @@ files without blocks.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandgauge.llm import words as W
-from demandgauge.llm.bpe import Pieces
+from demandgauge.llm.bpe import WINDOW, WORDS_PATTERN, Pieces
 
 BLOCK, STEP = 1 << 16, 256
 _BLOCKS = ("part int, block int, start bigint, doc_ids array<bigint>, sizes array<int>, n bigint, payload binary, "
@@ -45,7 +46,8 @@ def tokenizer_ids(spark: SparkSession, tokenizer_file: str, end_id: int, pattern
     """A column function: text -> ids as packed little-endian numbers (see ``number``), ``end_id`` last.
 
     ``pattern`` is the one by which the tokenizer cuts texts; no token goes beyond a piece, so the library
-    encodes each different piece once per worker.  Strings of special tokens in a text are ordinary text.
+    encodes each different piece once per worker (see ``Pieces``).  Texts that hold the string of an added token are given
+    to the library whole, which makes that token of it.
     """
     with open(tokenizer_file, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
@@ -55,7 +57,7 @@ def tokenizer_ids(spark: SparkSession, tokenizer_file: str, end_id: int, pattern
         size, pieces = _tokenizer(content, pattern)
         kind, out = number(max(size, end_id + 1)), []
         end = np.array([end_id], dtype=kind).tobytes()
-        for part in W.slices(texts):
+        for part in W.slices(texts, WINDOW):
             ids, borders = pieces.encode_batch([t or "" for t in part.to_pylist()])
             ids = ids.astype(kind)
             out += [ids[a:b].tobytes() + end for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
@@ -70,22 +72,49 @@ def _tokenizer(content: Broadcast, pattern: str) -> tuple[int, Pieces]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        described = json.loads(content.value)
         tokenizer = Tokenizer.from_str(content.value.decode())
-        tokenizer.encode_special_tokens = True
+        added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+        before = described["pre_tokenizer"] or {}
+        by_bytes = described["normalizer"] is None and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True)
 
-        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            # Many pieces as the words of one input: the library keeps them apart and says which word an id is of.
-            found = tokenizer.encode_batch(
-                [pieces[i:i + 4096] for i in range(0, len(pieces), 4096)], is_pretokenized=True, add_special_tokens=False)
-            ids = np.fromiter(chain.from_iterable(x.ids for x in found), dtype=np.int32)
-            of = np.fromiter(chain.from_iterable((w + 4096 * i for w in x.word_ids) for i, x in enumerate(found)), dtype=np.int64, count=len(ids))
-            return ids, np.bincount(of, minlength=len(pieces))
+        def special(text: str) -> bool:
+            return any(token in text for token in added)
 
+        def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            return _flat([x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)])
+
+        def words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            # Matches of the tokenizer's own pattern: its model is all that is left to apply.
+            return _flat([[token.id for token in model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))] for piece in pieces])
+
+        def mixed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            if not any(map(special, texts)):
+                return words(texts)
+            found = [(whole if special(text) else words)([text]) for text in texts]
+            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+        model = tokenizer.model
+        known = by_bytes and pattern == WORDS_PATTERN
         _loaded.clear()
-        _loaded[key] = (tokenizer.get_vocab_size(), Pieces(pattern, encode))
+        _loaded[key] = (tokenizer.get_vocab_size(), Pieces(pattern, mixed, special) if known else Pieces(pattern, whole, lambda text: True))
     return _loaded[key]
 
 
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64)
+
+
+def _shown_bytes() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a character: visible ones as they are, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+_SHOWN = _shown_bytes()
+
+
 def vocabulary_size(tokenizer_file: str) -> int:
     from tokenizers import Tokenizer
 

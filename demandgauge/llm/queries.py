@@ -74,7 +74,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encoded.select("doc_id", F.inline(F.array(F.struct("ids"))))
     return ids.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.translate(F.col("ids").cast("string"), "[] ", ""), 256).alias("ids_sha256"),
         F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"))
 
 

@@ -5,6 +5,7 @@ import random
 import public_tokenizers as P
 import tiktoken
 
+from demandgauge.llm import bpe
 from demandgauge.llm.bpe import Codec, Vocabulary
 from demandgauge.llm.queries import QUERIES
 
@@ -58,6 +59,22 @@ def test_rounds_with_tokens_whose_parts_rank_higher():
             assert ids[a:b].tolist() == lib.encode_ordinary(text)
 
 
+def test_windows_and_memory(monkeypatch):
+    """Small windows, small memory and long pieces give the same ids; what is remembered stays small."""
+    for name, value in (("WINDOW", 40), ("MEMORY", 20_000), ("FLUSH", 7)):
+        monkeypatch.setattr(bpe, name, value)
+    ours, lib, rnd = Vocabulary(open(FILE, "rb").read(), P.PATTERN), library(), random.Random(6)
+    pieces = ours.encode_batch.__self__
+    spaces = [" ", " ", " ", "  ", "\n", " \n", "\n ", "\u3000 ", " \u00a0", "\x1c ", "\x85 ", " \u180e ", "\t\t", "   "]
+    many = ["".join(rnd.choice(["word", "don't", "x1", "é", "...", "漢字", "a" * 300, str(rnd.random())]) + rnd.choice(spaces) for _ in range(60)) for _ in range(150)]
+    many += texts()[1:] + [" " + t for t in many[:20]] + [t.strip() for t in many[:20]]
+    for batch in (many[:50], many[50:], many[::3]):
+        ids, at = ours.encode_batch(batch)
+        for text, a, b in zip(batch, at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == lib.encode_ordinary(text), text
+        assert pieces.bytes <= 20_000 and len(pieces.numbers) < 200
+
+
 def test_query(spark):
     folder, lib = "/root/testdata/sf0.001", library()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
