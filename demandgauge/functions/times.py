@@ -18,7 +18,7 @@ def parse_uk_timestamp(c: Column) -> Column:
 
     Year-first text is never read day-first, so ``2024-03-04`` is 4 March.
     """
-    text = strip(c.cast("string"))
+    text = _usual_order(strip(c.cast("string")))
     slashed = F.rtrim(F.regexp_replace(text, _DAY_FIRST, "$1/$2/$3 "))
     full_year = F.regexp_replace(slashed, _SHORT_YEAR, "$120$2")
     dashed = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/", "$1-$2-")
@@ -31,6 +31,14 @@ def parse_uk_timestamp(c: Column) -> Column:
         F.try_to_timestamp(full_year, F.lit("d/M/yyyy[ H:mm[:ss[.SSSSSS]]]")))
 
 
+def _usual_order(text: Column) -> Column:
+    """Weekdays in front dropped, ``March 4, 2024`` as ``4 March 2024``, ``20240304`` as ``2024-03-04``."""
+    day = F.regexp_replace(text, r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+", "")
+    month_first = F.regexp_replace(day, r"^([A-Za-z]{3,9})\.? +(\d{1,2})(?:st|nd|rd|th)?,? +(\d{4})\b,?", "$2 $1 $3")
+    compact = F.regexp_replace(month_first, r"^(\d{4})(\d{2})(\d{2})(?=\D|$)", "$1-$2-$3")
+    return F.when(text.rlike(r"^[A-Za-z]|^\d{8}(?:\D|$)"), compact).otherwise(text)
+
+
 def duration_minutes(c: Column) -> Column:
     """Bare numbers are seconds, else ``[N days ]HH:MM:SS[.f]``; other text is NULL.
 

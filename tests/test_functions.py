@@ -98,3 +98,12 @@ def test_forms_of_dates_and_numbers(spark):
     seconds = {"90f": None, "Infinity": None, "-inf": None, "90": 1.5, "01:30:00": 90.0}
     df = spark.createDataFrame([(k,) for k in seconds], "t string")
     assert {r.t: r.m for r in df.select("t", duration_minutes(df.t).alias("m")).collect()} == seconds
+
+
+def test_dates_in_unusual_order(spark):
+    cases = {"March 4, 2024 10:00": "2024-03-04 10:00:00", "mar 4 2024": "2024-03-04 00:00:00", "20240304 10:00": "2024-03-04 10:00:00",
+             "20240304": "2024-03-04 00:00:00", "Monday, 04/03/2024 09:15": "2024-03-04 09:15:00", "Mon 4 March 2024 09:15:30": "2024-03-04 09:15:30",
+             "Tue, March 5th, 2024 7:05": "2024-03-05 07:05:00", "03/04/2024": "2024-04-03 00:00:00", "2024-03-04": "2024-03-04 00:00:00",
+             "Monday": None, "March 2024x": None, "20241304": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "s string").select("s", Tm.parse_uk_timestamp(F.col("s")).cast("string").alias("t"))
+    assert {r.s: r.t for r in rows.collect()} == cases
