@@ -17,7 +17,7 @@
 
 Defined results: null and empty texts have an empty set and are linked with nothing; texts shorter
 than a shingle are one shingle as a whole; rows with a null id are kept, unlinked, with a null
-component; rows that repeat an id count as one document and are all kept if it is.
+component; rows that repeat an id count as one document with the links of all its texts, and are all kept if it is.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from demandgauge.llm.shared import row_key, write_once
 VALUES, TREES, BASE = 64, 16, 4
 DEPTHS = (8, 16, 64)
 BLOCK, WIDE = 128, 512
+KEY = ["_k1", "_k2"]  # names one text of a node (its id); a node has several texts where rows repeat an id
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNED = "struct<n:bigint,d1:bigint,d2:bigint,signature:array<int>>"
 
@@ -153,10 +154,10 @@ def _compare(left, right, share: tuple[int, int]) -> np.ndarray:
 
 def _within(share: tuple[int, int]):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node")
+        rows = rows.drop_duplicates(KEY)
         names = rows["node"].to_numpy(dtype=np.int64)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"]]
-        to = _groups(_compare(sets, sets, share), names)
+        to = _groups(_compare(sets, sets, share) | (names[:, None] == names[None, :]), names)
         moved = to != names
         return pd.DataFrame({"a": names[moved], "b": to[moved]})
     return block
@@ -164,7 +165,7 @@ def _within(share: tuple[int, int]):
 
 def _between(share: tuple[int, int]):
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        small, all_ = rows[rows["minor"]].drop_duplicates("node"), rows[~rows["minor"]].drop_duplicates("node")
+        small, all_ = rows[rows["minor"]].drop_duplicates(KEY), rows[~rows["minor"]].drop_duplicates(KEY)
         if not len(small) or not len(all_):
             return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
         sets = [[np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]] for part in (small, all_)]
@@ -196,9 +197,8 @@ def near_duplicates(
         .select("d1", "d2", "n", F.col("m.id").alias("node"), F.col("m._k1").alias("_k1"), F.col("m._k2").alias("_k2"), "signature"), "classes")
     blocks = _blocks(classes)
     sets = _sets(docs, blocks, k, doc_id, text)
-    links = blocks.select("block", "node").join(sets, "node").groupBy("block").applyInPandas(_within(share), "a bigint, b bigint")
-    same_id = classes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    links = write_once(links.unionByName(same_id), "links")
+    links = blocks.select("block", "node", *KEY).join(sets, KEY).groupBy("block").applyInPandas(_within(share), "a bigint, b bigint")
+    links = write_once(links.unionByName(_same_id(signed, classes)), "links")
     found = components(links)
     large = blocks.filter(f"size > {BLOCK}")
     if large.limit(1).count():
@@ -213,41 +213,50 @@ def near_duplicates(
         (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
+def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between an id with several different texts and the least id of each of their classes."""
+    digest = F.struct("d1", "d2")
+    held = signed.filter("n > 0 AND id IS NOT NULL")
+    several = held.groupBy("id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).filter("low <> high").select("id")
+    return (
+        held.select("id", "d1", "d2").join(several, "id", "left_semi").distinct()
+        .join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select(F.col("id").alias("a"), F.col("node").alias("b")))
+
+
 def _blocks(classes: DataFrame) -> DataFrame:
     """(region, size, block, node, _k1, _k2): members of regions of at least two, each in one block of its region."""
     keys = F.array(*(
         F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.slice("signature", BASE * t + 1, BASE)).alias("region")) for t in range(TREES)))
-    forest = classes.select("node", F.explode(keys).alias("f")).select("node", "f.*")
+    forest = classes.select("node", *KEY, F.explode(keys).alias("f")).select("node", *KEY, "f.*")
     regions = (
-        forest.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("size > 1")
+        forest.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64(*KEY)).alias("who")).filter("size > 1")
         .groupBy("size", "who").agg(F.min("region").alias("region")).select("region", "size")
     )
     members = write_once(forest.join(regions, "region"), "members")
-    done = [members.filter(f"size <= {BLOCK}").select("region", "size", F.col("region").alias("block"), "node")]
+    done = [members.filter(f"size <= {BLOCK}").select("region", "size", F.col("region").alias("block"), "node", *KEY)]
     large = members.filter(f"size > {BLOCK}")
     if large.limit(1).count():
         turned = F.concat(F.expr(f"slice(signature, {BASE} * tree + 1, {VALUES})"), F.expr(f"slice(signature, 1, {BASE} * tree)"))
-        left = large.join(classes.select("node", "signature"), "node").select(
-            "region", "size", "node", *(F.xxhash64("region", F.slice(turned, 1, d)).alias(f"p{d}") for d in DEPTHS))
+        left = large.join(classes.select(*KEY, "signature"), KEY).select(
+            "region", "size", "node", *KEY, *(F.xxhash64("region", F.slice(turned, 1, d)).alias(f"p{d}") for d in DEPTHS))
         left = write_once(left, "deeper")
         for d in DEPTHS:
             held = left.groupBy(f"p{d}").agg(F.count(F.lit(1)).alias("held"))
             left = left.drop("held").join(held, f"p{d}")
-            done.append(left.filter(f"held <= {BLOCK}").select("region", "size", F.col(f"p{d}").alias("block"), "node"))
+            done.append(left.filter(f"held <= {BLOCK}").select("region", "size", F.col(f"p{d}").alias("block"), "node", *KEY))
             left = left.filter(f"held > {BLOCK}")
-        dealt = F.xxhash64(f"p{DEPTHS[-1]}", F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / BLOCK)))
-        done.append(left.select("region", "size", dealt.alias("block"), "node"))
-    return write_once(reduce(DataFrame.unionByName, done), "blocks").join(
-        classes.select("node", "_k1", "_k2").dropDuplicates(["node"]), "node")
+        dealt = F.xxhash64(f"p{DEPTHS[-1]}", F.pmod(F.xxhash64(*KEY), F.ceil(F.col("held") / BLOCK)))
+        done.append(left.select("region", "size", dealt.alias("block"), "node", *KEY))
+    return write_once(reduce(DataFrame.unionByName, done), "blocks")
 
 
 def _sets(docs: DataFrame, blocks: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """(node, shingles) of the members of regions, from their whole texts."""
-    wanted = blocks.select("node", F.col("_k1").alias("_n1"), F.col("_k2").alias("_n2")).distinct()
+    """(_k1, _k2, shingles) of the members of regions, from their whole texts."""
+    wanted = blocks.select(F.col("_k1").alias("_n1"), F.col("_k2").alias("_n2")).distinct()
     keys = row_key(doc_id, text)
     return write_once(
         docs.select(*keys, F.col(text).alias("_text")).join(wanted, (F.col("_k1") == F.col("_n1")) & (F.col("_k2") == F.col("_n2")))
-        .select("node", _setter(k)(F.col("_text")).alias("shingles")), "sets")
+        .select(*KEY, _setter(k)(F.col("_text")).alias("shingles")), "sets")
 
 
 def _rest(large: DataFrame, classes: DataFrame, found: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -260,10 +269,9 @@ def _rest(large: DataFrame, classes: DataFrame, found: DataFrame, sets: DataFram
         large.join(hubs, "region").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     ).withColumnRenamed("comp", "cluster")
     band = F.floor(F.log("n") / (1.001 * math.log(share[1] / share[0]))).cast("int")
-    sizes = classes.groupBy("node").agg(F.max("n").alias("n"))
     placed = write_once(
-        clusters.join(found, "node", "left").join(sizes, "node")
-        .select("cluster", "node", F.coalesce("comp", "node").alias("comp"), band.alias("band")), "clusters")
+        clusters.join(found, "node", "left").join(classes.select("node", *KEY, "n"), "node")
+        .select("cluster", *KEY, F.coalesce("comp", "node").alias("comp"), band.alias("band")), "clusters")
     main = (
         placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("top")).select("cluster", F.col("top.comp").alias("main"))
@@ -271,17 +279,17 @@ def _rest(large: DataFrame, classes: DataFrame, found: DataFrame, sets: DataFram
     minor = placed.join(main, "cluster").filter("comp <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     parts = (
         placed.withColumn("of", F.lit(1)).withColumn("less", F.lit(0))
-        .unionByName(minor.select("cluster", "node", "comp", "band", F.lit(0).alias("of"), F.lit(1).alias("less")))
+        .unionByName(minor.select("cluster", *KEY, "comp", "band", F.lit(0).alias("of"), F.lit(1).alias("less")))
         .groupBy("cluster", "band").agg(F.ceil(F.sum("of") / WIDE).cast("int").alias("n_blocks"), F.ceil(F.sum("less") / WIDE).cast("int").alias("n_chunks"))
         .filter("n_blocks > 0 AND n_chunks > 0")
     )
-    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    spread = lambda n: F.pmod(F.xxhash64(*KEY), F.col(n)).cast("int")
     counted = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["cluster", "band", "block", "chunk", "node", "comp"]
+    columns = ["cluster", "band", "block", "chunk", *KEY, "comp"]
     every = placed.join(parts, ["cluster", "band"]).withColumn("block", spread("n_blocks")).withColumn("chunk", counted("n_chunks"))
     small = minor.join(parts, ["cluster", "band"]).withColumn("chunk", spread("n_chunks")).withColumn("block", counted("n_blocks"))
     rows = every.select(*columns, F.lit(False).alias("minor")).unionByName(small.select(*columns, F.lit(True).alias("minor")))
-    return rows.join(sets, "node").groupBy("cluster", "band", "block", "chunk").applyInPandas(_between(share), "a bigint, b bigint")
+    return rows.join(sets, KEY).groupBy("cluster", "band", "block", "chunk").applyInPandas(_between(share), "a bigint, b bigint")
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -53,6 +53,10 @@ def made(seed, n_hot):
                 w[rnd.randrange(len(w))] = rnd.choice(vocab)
     docs += [(5000, None), (5001, ""), (5002, " \n "), (5003, "One"), (5004, "one"), (5005, "one two"), (None, docs[0][1]), (None, None),
              (5006, "x " * 9000), (5007, "X\n" * 9001), docs[3]]
+    # rows of one id with different texts: the links of each of them count, also through equal texts of other ids
+    near = lambda j: (lambda w: " ".join([*w[:50], "other", *w[51:]]))(docs[j][1].split())
+    alone = [" ".join(rnd.choice(vocab) for _ in range(80)) for _ in range(3)]
+    docs += [(6000, alone[0]), (6001, alone[0]), (6001, alone[1]), (6002, alone[1] + " end"), (6003, alone[2]), (6003, docs[1][1]), (6003, near(2)), (6004, alone[2] + " end")]
     rnd.shuffle(docs)
     return docs
 
@@ -70,6 +74,14 @@ def test_against_brute_force(spark, monkeypatch, k, share):
     assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(repr(r[0]) for r in expected if r[3])
 
 
+def test_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (1, b), (4, "a " * 9)]
+    expected = brute(docs, 3, (85, 100))
+    assert [r[2] for r in expected] == [1, 1, 1, 1, 1, 4]
+    assert got(near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), 3, (85, 100))) == expected
+
+
 def test_empty_table(spark):
     assert got(near_dup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"))) == []
 
