@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -41,6 +42,17 @@ def test_base_patterns():
         assert joined(pii.base_spans(text)) == brute(text), text
 
 
+def test_base_patterns_on_very_long_runs():
+    """A megabyte of one kind of character takes a time in proportion to its length."""
+    n = 1_000_000
+    tail = " me@host.example 10.0.0.1"
+    for run in ("7" * n, "1." * (n // 2) + "x", "1.2.3" * (n // 5) + "x", "12345.12345.12345." * (n // 18), "a" * n, "a@" * (n // 2), "@a-" * (n // 3), "+1" + " " * n, "+1(" * (n // 3), "4 " * (n // 2)):
+        begun = time.perf_counter()
+        found = pii.base_spans(run + tail)
+        assert time.perf_counter() - begun < 20, run[:20]
+        assert any(k == 0 and (run + tail)[a:b].endswith("me@host.example") for a, b, k in found), run[:20]
+
+
 @pytest.fixture(scope="module")
 def names():
     return pii.NameFinder(pii.labelled_sentences())
