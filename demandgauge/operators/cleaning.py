@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import constants as K, schemas
 from ..functions.numbers import to_double
@@ -39,14 +39,11 @@ def derive_end() -> Column:
 def dedup_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key by ``order``; NULL keys are equal to each other.
 
-    An aggregate, so copies collapse before the shuffle and a key with very many copies
-    stays cheap.
+    Spark limits each key to its first row before the shuffle (``WindowGroupLimit``), so a key with
+    very many copies stays cheap and no row is packed into a struct and out again.
     """
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
-        .select(*keys, "_first.*").select(*df.columns)
-    )
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last()))
+    return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def drop_missing_ids(df: DataFrame, ids: tuple[str, ...] = ("cp_id", "connector")) -> DataFrame:
