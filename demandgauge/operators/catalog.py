@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import json
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,34 +13,58 @@ from ..functions.frames import computed_once
 from ..functions.periods import (
     filename_period, is_session_link, month_from_text, month_in_name, resolve_period, upload_period,
 )
-from ..functions.text import basename, strip
+from ..functions.text import basename, lookup, strip
 from ..session import materialise
 
 _HEADING = r"(?is)<h([2-4])\b[^>]*>(.*?)</h\1\s*>"
 _HREF = r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _LINK = r"(?is)<a\b[^>]*?" + _HREF + r"[^>]*>.*?</a\s*>"
 _TAGS = r"(?s)<!--.*?-->|<[^>]*>"
-_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
 
+# The named references of the HTML standard, as the standard library holds them; those without a
+# semicolon are the old ones that browsers also read unfinished.  A no-break space counts as a space.
+_NAMED = {name: text.replace("\u00a0", " ") for name, text in html5.items()}
+_OLD = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_NUMBER = "#[0-9]+;?|#[xX][0-9a-fA-F]+;?"
+_IN_TEXT = f"&(?:{_NUMBER}|[A-Za-z][A-Za-z0-9]{{1,31}};|(?:{_OLD}))"
+_IN_ADDRESS = f"&(?:{_NUMBER}|[A-Za-z][A-Za-z0-9]{{1,31}};|(?:{_OLD})(?![=A-Za-z0-9]))"
+# Numbers that stand for the characters of Windows-1252, as the standard has it.
+_WINDOWS = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+
+
+def _of_number(ref: Column) -> Column:
+    """The character of a numeric reference; U+FFFD when there is none of that number."""
+    digits = F.regexp_replace(ref, "^&#|;$", "")
+    hexadecimal = F.lower(digits).startswith("x")
+    bare = F.regexp_replace(digits, "^[xX]?0*", "")
+    n = F.when(F.length(bare) > 7, F.lit(-1)).when(hexadecimal, F.conv(bare, 16, 10).cast("int")).otherwise(bare.try_cast("int"))
+    valid = ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (
+        F.when(n == 160, F.lit(" ")).when((n >= 0x80) & (n < 0xA0), lookup(n.cast("string"), _WINDOWS, F.lit("")))
+        .when(valid, plain).otherwise(F.lit("\ufffd")))
+
+
+def _unescape(c: Column, in_address: bool = False) -> Column:
+    """Character references decoded once, left to right, as the HTML standard has it.
+
+    What a reference stands for is not read again.  Unknown names stay.  In an address an old name without
+    semicolon counts only if neither ``=``, letter nor digit follows (``?a=1&copy=2``).
+    """
+    pattern = _IN_ADDRESS if in_address else _IN_TEXT
+    table = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
 
-_NUMERIC = r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
-
+    def read(ref: Column) -> Column:
+        known = F.try_element_at(table, F.substring(ref, F.lit(2), F.length(ref)))
+        old = F.regexp_extract(ref, f"^&({_OLD})", 1)
+        start = F.when(old != "", F.concat(F.try_element_at(table, old), F.substring(ref, F.length(old) + 2, F.length(ref))))
+        named = F.coalesce(known, ref) if in_address else F.coalesce(known, start, ref)
+        return F.when(ref.startswith("&#"), _of_number(ref)).otherwise(named)
 
-def _numeric_entities(c: Column) -> Column:
-    """Numeric character references as their characters; decoded where there are any, piece by piece."""
-    codes = F.regexp_extract_all(c, F.lit(_NUMERIC), F.lit(1))
-    number = lambda x: F.when(F.lower(x).startswith("x"), F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).cast("int")
-    char = lambda n: F.when(n == 160, F.lit(" ")).when((n > 0) & (n < 0x110000), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit(""))
     decoded = F.array_join(F.flatten(F.zip_with(
-        F.split(c, _NUMERIC), codes, lambda piece, code: F.array(piece, F.coalesce(char(number(code)), F.lit(""))))), "")
-    return F.when(c.rlike(_NUMERIC), decoded).otherwise(c)
-
-
-def _unescape(c: Column) -> Column:
-    c = _numeric_entities(c)
-    for entity in ["&lt;", "&gt;", "&quot;", "&#39;", "&nbsp;", "&amp;"]:
-        c = F.replace(c, F.lit(entity), F.lit(_ENTITIES[entity]))
-    return c
+        F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)),
+        lambda piece, ref: F.array(piece, F.coalesce(read(ref), F.lit(""))))), "")
+    return F.when(c.contains("&") & c.rlike(pattern), decoded).otherwise(c)
 
 
 def _year_sections(html: Column) -> Column:
@@ -64,7 +90,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, text, heading_year) of every ``<a href>``, in document order.
 
     ``heading_year`` comes from the nearest heading (h2-h4) above that names a year.
-    ``text`` is trimmed and lower-cased, without inner tags.
+    ``text`` is trimmed and lower-cased, without inner tags; character references are decoded once.
     """
     html = F.regexp_replace("html", "(?s)<!--.*?-->", "")
     sections = pages.select("page_id", F.posexplode(_year_sections(html)).alias("section_no", "section"))
@@ -78,7 +104,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     quoted = F.regexp_extract("link", "(?is)" + _HREF, 1)
     href = F.when(quoted.rlike("^[\"']"), F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(quoted)
     text = F.regexp_replace("link", _TAGS, "")
-    read = computed_once(links, {"href": _unescape(href), "text": F.lower(strip(_unescape(text)))})
+    read = computed_once(links, {"href": _unescape(href, in_address=True), "text": F.lower(strip(_unescape(text)))})
     return read.select(
         "page_id", F.struct("section_no", "link_no").alias("pos"), "href", "text", "heading_year")
 

@@ -1,4 +1,6 @@
 import datetime
+
+from pyspark.sql import functions as F
 import random
 
 import pytest
@@ -102,3 +104,15 @@ def test_entities_and_comments(spark):
     page = '<!-- <a href="old.csv">gone</a> --><a href="a&#38;b.csv?x=&#x31;">May&#160;Sessions &#128640; &amp;lt;</a>'
     got = extract_links(spark.createDataFrame([(1, page)], "page_id int, html string")).collect()
     assert [(r.href, r.text) for r in got] == [("a&b.csv?x=1", "may sessions \U0001F680 &lt;")]
+
+
+def test_references_as_the_standard_library_reads_them(spark):
+    import html
+    import random
+    from demandgauge.operators.catalog import _unescape
+    rnd = random.Random(8)
+    bits = ["&", "#", ";", "x", "38", "lt", "amp", "eacute", "notin", "copy", "nbsp", "NotEqualTilde", "&#x1F680;", "&#150;", "&#0;", "&#99999999999;", "&amp;", " ", "=", "z", "é"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 9))) for _ in range(3000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _unescape(F.col("t")).alias("u")).collect()
+    known = [(r.t, r.u, html.unescape(r.t).replace("\u00a0", " ")) for r in got]
+    assert [x for x in known if x[1] != x[2]] == []

@@ -119,6 +119,20 @@ def extract_links(spark, d):
     return found.select("page_id", F.col("pos.link_no").alias("link_no"), "href", "text")
 
 
+def link_references(spark, d):
+    """Customers as pages of one link each, with character references of all kinds in address and text."""
+    k, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 7
+    address = (
+        F.when(kind == 0, "a&#38;lt;b").when(kind == 1, "?a=1&copy=2&amp;b=3").when(kind == 2, "&eacute;.csv").when(kind == 3, "x&#x26;y&#128;")
+        .when(kind == 4, "?a&lt=1&unknown;").when(kind == 5, "&amp;amp;").otherwise("plain"))
+    text = (
+        F.when(kind == 0, "a&#38;lt;b").when(kind == 1, "May &copy 2024&nbsp;").when(kind == 2, "Caf&eacute; &hellip;").when(kind == 3, "&#0;&#xD800;&#1114112;z")
+        .when(kind == 4, "&unknown; &notit; &ampx").when(kind == 5, "&amp;amp;&NotEqualTilde;").otherwise("&Eacute;t&#233; & &;"))
+    pages = I.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("page_id"), F.concat(F.lit('<a href="'), address, F.lit("/"), k, F.lit('">'), text, F.lit(" "), k, F.lit("</a>")).alias("html"))
+    return B.extract_links(pages).select("page_id", "href", "text")
+
+
 def session_links(spark, d):
     return B.session_links(links(spark, d)).select("pos", "href", "text")
 
@@ -228,6 +242,7 @@ def to_fetch(spark, d):
 
 QUERIES = {
     "extract_links": extract_links,
+    "link_references": link_references,
     "session_links": session_links,
     "filename_period": filename_period,
     "upload_period": upload_period,
@@ -257,6 +272,14 @@ SELECT page_id, CAST(link_no AS INTEGER) AS link_no,
        {_UNESCAPE.format(x=f"(regexp_extract(link, '{_A}', 1) || regexp_extract(link, '{_A}', 2) || regexp_extract(link, '{_A}', 3))")} AS href,
        lower(trim({_UNESCAPE.format(x=f"regexp_replace(regexp_extract(link, '{_A}', 4), '<[^>]*>', '', 'g')")})) AS text
 FROM each""",
+    "link_references": """
+SELECT c_custkey AS page_id,
+       CASE c_custkey % 7 WHEN 0 THEN 'a&lt;b' WHEN 1 THEN '?a=1&copy=2&b=3' WHEN 2 THEN 'é.csv' WHEN 3 THEN 'x&y€'
+            WHEN 4 THEN '?a&lt=1&unknown;' WHEN 5 THEN '&amp;' ELSE 'plain' END || '/' || c_custkey AS href,
+       CASE c_custkey % 7 WHEN 0 THEN 'a&lt;b' WHEN 1 THEN 'may © 2024 ' WHEN 2 THEN 'café …'
+            WHEN 3 THEN repeat(chr(65533), 3) || 'z' WHEN 4 THEN '&unknown; ¬it; &x'
+            WHEN 5 THEN '&amp;' || chr(8770) || chr(824) ELSE 'été & &;' END || ' ' || c_custkey AS text
+FROM customer""",
     "session_links": _WITH + " SELECT pos, href, text FROM parts WHERE is_session",
     "filename_period": _WITH + """
 SELECT pos, CAST(fy AS VARCHAR) AS year, CASE WHEN fy IS NOT NULL THEN CAST(fm AS VARCHAR) END AS month FROM dated""",
