@@ -251,11 +251,14 @@ def _blocks(classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, blocks: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
-    """(_k1, _k2, shingles) of the members of regions, from their whole texts."""
+    """(_k1, _k2, shingles) of the members of regions, from their whole texts.
+
+    How many they are grows with the input, so they are never broadcast: the plan is the same at every size.
+    """
     wanted = blocks.select(F.col("_k1").alias("_n1"), F.col("_k2").alias("_n2")).distinct()
     keys = row_key(doc_id, text)
     return write_once(
-        docs.select(*keys, F.col(text).alias("_text")).join(wanted, (F.col("_k1") == F.col("_n1")) & (F.col("_k2") == F.col("_n2")))
+        docs.select(*keys, F.col(text).alias("_text")).join(wanted.hint("merge"), (F.col("_k1") == F.col("_n1")) & (F.col("_k2") == F.col("_n2")))
         .select(*KEY, _setter(k)(F.col("_text")).alias("shingles")), "sets")
 
 
