@@ -4,11 +4,12 @@ Counts of a text are turned into five rates.  A KLL sketch per (language, source
 distribution of each; sketches of one language and of all rows are merges of these, so the corpus is
 aggregated once.  A rate is out of range above the 3rd quartile plus ``WIDTH`` times the spread
 between the quartiles, but at least ``WIDTH`` times the ``LEAST`` spread, so that groups in which a rate hardly varies
-do not reject on trifles.  Groups of fewer than ``ENOUGH`` rows (many enough for quartiles) use
-their language, small languages use all rows.  The threshold of a language, and of all rows, is the (lower) median over
-its sources, whose smaller ones count together as one: a source has one vote however many rows it holds.  So a source that
+do not reject on trifles.  The threshold of a group of n rows counts n / (n + ``PRIOR``), the rest is its language's, whose own
+counts likewise beside that of all rows: small groups lean on the level above, and no single row changes that at once.
+The threshold of a language, and of all rows, is the median over its sources, each with the weight n / (n + ``PRIOR``),
+so below one however many rows it holds.  So a source that
 is junk for the most part cannot excuse itself or others, as long as most sources are not like it:
-a threshold is never above the one of its language, nor that above the one of all rows, by more than ``SLACK`` times.
+before it is mixed, a threshold is cut to ``SLACK`` times the one of its language, and that to ``SLACK`` times the one of all rows.
 The thresholds, a few rows, are joined to the documents.
 
 All of it is built-in expressions inside the row: repeated words come from sorted (hash, position)
@@ -20,8 +21,6 @@ source is a group of its own; one row or many equal rows are judged alike; an em
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +29,9 @@ from demandgauge.llm.shared import write_once
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Rate -> least spread between quartiles that is taken seriously.
 LEAST = {"symbols_per_word": 0.05, "dup_line_share": 0.1, "repeat_word_share": 0.08, "word_length": 0.5, "short_words": 0.5}
-WIDTH, SLACK, ENOUGH = 6.0, 2.0, 200
+WIDTH, SLACK, PRIOR = 6.0, 2.0, 200
+#: Thresholds are compared in steps of a thousandth when sources vote, so that a vote holds few different values.
+STEPS = 1000
 _SPACE = "\t\n\u000b\u000c\r "
 
 
@@ -100,13 +101,14 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -
         return out
 
     def voted(by: list[str], suffix: str) -> DataFrame:
-        """Median over the limits of the sources, the small ones as one."""
-        held = sketched.groupBy(*by, "source").agg(F.sum("n").alias("_held"))
-        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "source"]))
-        sized = sketched.join(held.withColumnsRenamed({c: f"_{c}" for c in [*by, "source"]}), same).select(*sketched.columns, "_held")
-        sized = sized.withColumn("_small", F.col("_held") < ENOUGH).withColumn("_voter", F.when(~F.col("_small"), F.col("source")))
-        return merged(sized, [*by, "_small", "_voter"], suffix).groupBy(*by).agg(
-            F.sum(f"n_{suffix}").alias(f"n_{suffix}"), *(F.percentile_approx(f"{n}_{suffix}", 0.5, 10_000).alias(f"{n}_{suffix}") for n in names))
+        """Median over the limits of the sources; the weights n / (n + PRIOR) in thousandths."""
+        weight = F.greatest(F.lit(1), (1000 * F.col(f"n_{suffix}") / (F.col(f"n_{suffix}") + PRIOR)).cast("int"))
+        return merged(sketched, [*by, "source"], suffix).withColumn("_weight", weight).groupBy(*by).agg(
+            F.sum(f"n_{suffix}").alias(f"n_{suffix}"),
+            *((F.percentile(F.round(F.col(f"{n}_{suffix}") * STEPS), 0.5, F.col("_weight")) / STEPS).alias(f"{n}_{suffix}") for n in names))
+
+    def shrunk(own: Column, n: Column, above: Column) -> Column:
+        return (n * F.least(own, above * SLACK) + PRIOR * above) / (n + PRIOR)
 
     total, by_lang, own = voted([], "all"), voted(["lang"], "lang"), merged(sketched, ["lang", "source"], "own")
     # The limits of all rows are one row: a scalar, not a join.
@@ -114,9 +116,8 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source") -
     joined = own.join(every, F.col("lang").eqNullSafe(F.col("_lang")))
     limits = {}
     for n in names:
-        whole = F.col(f"_all.{n}_all")
-        language = F.when(F.col("n_lang") >= ENOUGH, F.least(f"{n}_lang", whole * SLACK)).otherwise(whole)
-        limits[n] = F.when(F.col("n_own") >= ENOUGH, F.least(F.col(f"{n}_own"), language * SLACK)).otherwise(language)
+        language = shrunk(F.col(f"{n}_lang"), F.col("n_lang"), F.col(f"_all.{n}_all"))
+        limits[n] = shrunk(F.col(f"{n}_own"), F.col("n_own"), language)
     return joined.select("lang", "source", *(c.alias(f"limit_{n}") for n, c in limits.items()))
 
 
@@ -126,14 +127,31 @@ def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     return decide(counted, write_once(thresholds(counted, lang, source), "limits"), lang, source)
 
 
-def decide(counted: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Base rules, then the joined limits, on the result of ``counts``."""
+def with_limits(counted: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
+    """The result of ``counts`` with the limits of each row's group, as ``_limit_`` columns."""
     renamed = limits.withColumnsRenamed({"lang": "_limit_lang", "source": "_limit_source"} | {f"limit_{n}": f"_limit_{n}" for n in LEAST})
-    joined = counted.drop("base_failed", "kept").join(
+    return counted.join(
         renamed, F.col(lang).eqNullSafe(F.col("_limit_lang")) & F.col(source).eqNullSafe(F.col("_limit_source")), "left")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def base_fails() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def rejections(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+    """(lang, source, n_rows, n_base, one count per rate): rows that fail the base rules, and rows that each rate rejects beyond these."""
+    counted = counts(docs, text)
+    joined = with_limits(counted, write_once(thresholds(counted, lang, source), "limits"), lang, source)
+    return joined.groupBy(F.col(lang).alias("lang"), F.col(source).alias("source")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(base_fails()).alias("n_base"),
+        *(F.count_if(~base_fails() & (rate > F.col(f"_limit_{n}"))).alias(n) for n, rate in rates().items()))
+
+
+def decide(counted: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Base rules, then the joined limits, on the result of ``counts``."""
+    joined = with_limits(counted.drop("base_failed", "kept"), limits, lang, source)
     fits = F.lit(True)
     for n, rate in rates().items():
         fits = fits & F.coalesce(rate <= F.col(f"_limit_{n}"), F.lit(True))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fits).drop(
+    return joined.withColumn("base_failed", base_fails()).withColumn("kept", ~F.col("base_failed") & fits).drop(
         "_n_lines", "_limit_lang", "_limit_source", *(f"_limit_{n}" for n in LEAST))
