@@ -10,7 +10,7 @@ from ..functions.text import basename
 from ..operators.cleaning import clean_sessions, typed_sessions, without_known
 from ..operators.metrics import RunMetrics
 from ..session import materialise
-from ..sources import landing, tables, xlsx
+from ..sources import landing, ledger, tables, xlsx
 
 
 @dataclass
@@ -55,31 +55,52 @@ def run_clean(spark: SparkSession, landing_path: str | list[str], table: str, fu
     ``against_stored`` also drops sessions that earlier runs have stored.  ``multi_line`` reads quoted
     line breaks in CSV cells, at the price of one task per file.
     """
-    stored = None if full_refresh else tables.scan_if_exists(spark, table)
-    files = landing.unprocessed(landing.list_landing(spark, landing_path), stored)
+    stored = None if full_refresh else ledger.stored_files(spark, table)
+    files = landing.not_stored(landing.list_landing(spark, landing_path), stored)
     listed = list(files.select("path", "length").orderBy("path").toLocalIterator())
     paths = [r.path for r in listed if r.length > 0]
     empty = files.where("length = 0").select(
         F.col("file_name").alias("file"), F.lit("file is empty").alias("reason"))
     report = CleanReport(files=len(listed), quarantined=empty)
     if not paths:
+        if listed:
+            names = empty.select(F.col("file").alias("file_name"))
+            ledger.note(ledger.outcomes(names, [], empty), table, ledger.Run())
         return report
+    names = materialise(files.select("file_name"), "run_files")
     raw, unusable = read_files(spark, paths, multi_line)
-    report.quarantined = empty.unionByName(unusable)
+    report.quarantined = materialise(empty.unionByName(unusable), "set_aside")
+    run = ledger.Run()
     if raw is None:
+        ledger.note(ledger.outcomes(names, [], report.quarantined), table, run)
         return report
     metrics = RunMetrics()
     clean = clean_sessions(typed_sessions(raw), metrics=metrics, valid_first=valid_first)
-    if stored is not None and against_stored:
-        clean = without_known(clean, stored)
+    known = tables.scan_if_exists(spark, table) if against_stored and not full_refresh else None
+    if known is not None:
+        clean = without_known(clean, known)
+    report.measures = store_noted(clean, table, names, report.quarantined, run, metrics, full_refresh)
+    return report
+
+
+def store_noted(clean: DataFrame, table: str, names: DataFrame, unusable: DataFrame, run: ledger.Run,
+                metrics: RunMetrics, full_refresh: bool = False) -> dict[str, dict]:
+    """Write cleaned sessions between the two notes of the ledger; the measures of the run.
+
+    ``names`` (file_name) are all files of the run, ``unusable`` (file, reason) those set aside.
+    A full refresh replaces the ledger too, unless it finds no sessions and so leaves the table alone.
+    """
+    clean = metrics.watch(clean, "stored", files=F.collect_set("source_file"))
+    mode = "append"
     if full_refresh:
         # An empty result must not wipe the table, so it is written aside first.
         clean = materialise(clean, "clean_sessions")
         if clean.isEmpty():
-            report.measures = metrics.report()
-            return report
-        tables.write_sessions(clean, table, "overwrite")
-    else:
-        tables.write_sessions(clean, table, "append")
-    report.measures = metrics.report()
-    return report
+            return metrics.report()
+        mode = "overwrite"
+    ledger.note(names.distinct(), table, run, ledger.STARTED)
+    tables.write_sessions(clean, table, mode)
+    measures = metrics.report()
+    stored = measures.get("stored", {}).get("files") or []
+    ledger.note(ledger.outcomes(names, list(stored), unusable), table, run, mode=mode)
+    return measures

@@ -18,15 +18,26 @@ RAW_COLUMNS = K.REQUIRED_RAW_COLUMNS + K.OPTIONAL_RAW_COLUMNS + ["end_time"]
 
 
 def empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, length, modificationTime) of zero-length files, which Spark's scans leave out."""
+    """(path, length, modificationTime) of zero-length files, which Spark's scans leave out.
+
+    The names stay in the JVM: those of Spark's own listing go into a table as a whole, and the files
+    that a scan returns leave it.  Only empty files are asked for their time, one by one.
+    """
     jvm = spark.sparkContext._jvm
+    scan = spark.read.format("binaryFile").load(path)
+    names = spark._jsparkSession.createDataset(
+        jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(scan._jdf.inputFiles()), jvm.org.apache.spark.sql.Encoders.STRING())
+    # One side writes file:///a, the other file:/a.
+    listed = DataFrame(names.toDF(), spark).select(F.regexp_replace(_decoded(F.col("value")), "^([^:/]+):///", "$1:/").alias("path"))
+    filled = scan.select(F.regexp_replace("path", "^([^:/]+):///", "$1:/").alias("path"))
+    names_only = listed.join(filled, "path", "left_anti").where(~basename(F.col("path")).rlike("^[._]"))
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     found = []
-    for one in [path] if isinstance(path, str) else path:
-        folder = jvm.org.apache.hadoop.fs.Path(one)
-        for status in folder.getFileSystem(conf).listStatus(folder):
-            if status.isFile() and status.getLen() == 0 and status.getPath().getName()[:1] not in "._":
-                found.append((status.getPath().toString(), 0, status.getModificationTime() / 1000))
+    for row in names_only.toLocalIterator():
+        file = jvm.org.apache.hadoop.fs.Path(row.path)
+        status = file.getFileSystem(conf).getFileStatus(file)
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(), 0, status.getModificationTime() / 1000))
     empty = spark.createDataFrame(found, "path string, length bigint, modified double")
     return empty.select("path", "length", F.timestamp_seconds("modified").alias("modificationTime"))
 
@@ -45,8 +56,12 @@ def unprocessed(files: DataFrame, sessions: DataFrame | None) -> DataFrame:
     """A2: files whose name is not yet a ``source_file`` of the session table (None: no table yet)."""
     if sessions is None:
         return files
-    done = sessions.select(F.col("source_file").alias("file_name")).distinct()
-    return files.join(done, "file_name", "left_anti")
+    return not_stored(files, sessions.select(F.col("source_file").alias("file_name")).distinct())
+
+
+def not_stored(files: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """A2 by the ledger: files that are not among the stored ones (``ledger.stored_files``)."""
+    return files if stored is None else files.join(stored, "file_name", "left_anti")
 
 
 def file_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -75,9 +90,14 @@ def validate_files(manifest: DataFrame, min_bytes: int = K.MIN_FILE_BYTES) -> Da
     })
 
 
+def _decoded(c: Column) -> Column:
+    """A URI-encoded path as plain text; a plus sign in it is no space."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def scanned_path() -> Column:
     """Path of the scanned file as plain text (the metadata column is URI-encoded)."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return _decoded(F.col("_metadata.file_path"))
 
 
 def csv_headers(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import basename
 from ..operators.cleaning import clean_sessions, typed_sessions
-from ..plans.clean_run import read_files
-from ..sources.landing import unprocessed
-from ..sources.tables import scan_if_exists, write_sessions
+from ..operators.metrics import RunMetrics
+from ..plans.clean_run import read_files, store_noted
+from ..session import materialise
+from ..sources import ledger
+from ..sources.landing import not_stored
 
 
 def clean_stream(spark: SparkSession, landing_path: str, table: str, checkpoint: str,
@@ -20,8 +22,8 @@ def clean_stream(spark: SparkSession, landing_path: str, table: str, checkpoint:
 
     Only paths travel through the stream; each batch is cleaned by the same operators as a
     batch run and appended to the same table in the same layout, so both kinds of run can
-    take turns.  A batch repeated after a failure leaves out the files whose sessions it has
-    already stored.  Files without valid rows are remembered too and not read again; unusable
+    take turns.  They share the ledger of files too: a batch repeated after a failure leaves out the files whose
+    sessions it has already stored, without reading the session table.  Files without valid rows are remembered too and not read again; unusable
     files go with their reason to ``quarantine`` (default: the table's path with ``_quarantined``),
     one folder per batch, replaced when the batch is repeated.
     """
@@ -34,12 +36,18 @@ def clean_stream(spark: SparkSession, landing_path: str, table: str, checkpoint:
 
     def clean_batch(batch: DataFrame, number: int) -> None:
         named = batch.withColumn("file_name", basename(F.col("path")))
-        fresh = unprocessed(named, scan_if_exists(batch.sparkSession, table))
+        spark, run = batch.sparkSession, ledger.Run()
+        fresh = materialise(not_stored(named, ledger.stored_files(spark, table)), "run_files")
         paths = sorted(r.path for r in fresh.select("path").toLocalIterator())
         if paths:
-            raw, unusable = read_files(batch.sparkSession, paths, multi_line)
-            if raw is not None:
-                write_sessions(clean_sessions(typed_sessions(raw)), table, "append")
+            raw, unusable = read_files(spark, paths, multi_line)
+            unusable = materialise(unusable, "set_aside")
+            names = fresh.select("file_name")
+            if raw is None:
+                ledger.note(ledger.outcomes(names, [], unusable), table, run)
+            else:
+                metrics = RunMetrics()
+                store_noted(clean_sessions(typed_sessions(raw), metrics=metrics), table, names, unusable, run, metrics)
             unusable.write.mode("overwrite").parquet(os.path.join(quarantine, f"batch={number}"))
 
     return (

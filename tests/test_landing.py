@@ -4,7 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from demandgauge.plans.clean_run import run_clean
-from demandgauge.sources import landing, tables
+from demandgauge.sources import ledger, landing, tables
 from demandgauge.streaming.incremental import clean_stream
 
 GOOD = "CP ID,Connector,Start,Consum(kWh),Duration,Site,Amount\n"
@@ -196,3 +196,73 @@ def test_seed_is_idempotent(spark, tmp_path):
     tables.merge_insert_missing(spark, seed, path, "area_code")
     assert spark.read.parquet(path).count() == 16
     assert spark.read.parquet(path).agg(F.count_distinct("area_code")).first()[0] == 16
+
+
+def states(spark, table):
+    return {r.file_name: (r.state, r.reason) for r in ledger.latest(spark.read.parquet(ledger.ledger_path(table))).collect()}
+
+
+def test_ledger_knows_every_file(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    fill(folder)
+    (folder / "none.csv").write_text(GOOD + "nan,1,01/05/2024 10:00:00,1,01:30:00,x,1\n")
+    (folder / "zero + 1.csv").write_text("")
+    run_clean(spark, str(folder), table)
+    found = states(spark, table)
+    assert {n for n, (s, _) in found.items() if s == "stored"} == {"a one+50%.csv", "b.csv", "c.XLSX"}
+    assert found["none.csv"] == ("empty", None) and found["zero + 1.csv"] == ("unusable", "file is empty")
+    assert found["bad.csv"][1].startswith("missing required columns: ") and found["broken.xlsx"][0] == "unusable"
+    # A file that is mended under its name is read again, one that is gone from the landing stays noted.
+    (folder / "none.csv").write_text(GOOD + "8,1,01/05/2024 10:00:00,1,01:30:00,x,1\n")
+    (folder / "b.csv").unlink()
+    run_clean(spark, str(folder), table)
+    assert states(spark, table)["none.csv"] == ("stored", None) and states(spark, table)["b.csv"] == ("stored", None)
+    assert tables.scan(spark, table).count() == 4
+    # A full refresh holds only what it found.
+    run_clean(spark, str(folder), table, full_refresh=True)
+    assert "b.csv" not in states(spark, table) and tables.scan(spark, table).count() == 3
+
+
+def test_run_that_died_between_its_notes(spark, tmp_path):
+    """Files noted as started are looked up in the table: the stored one is left out, the other is read."""
+    folder, table = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.csv").write_text(GOOD + "5,1,01/05/2024 10:00:00,1,01:30:00,x,1\n")
+    run_clean(spark, str(folder), table)
+    (folder / "b.csv").write_text(GOOD + "6,1,01/05/2024 10:00:00,1,01:30:00,x,1\n")
+    started = spark.createDataFrame([("a.csv",), ("b.csv",)], "file_name string")
+    ledger.note(started, table, ledger.Run(), ledger.STARTED)
+    assert {r.file_name for r in ledger.stored_files(spark, table).collect()} == {"a.csv"}
+    assert run_clean(spark, str(folder), table).files == 1
+    assert tables.scan(spark, table).count() == 2
+    assert run_clean(spark, str(folder), table).files == 0
+
+
+def test_table_from_before_the_ledger(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.csv").write_text(GOOD + "5,1,01/05/2024 10:00:00,1,01:30:00,x,1\n")
+    run_clean(spark, str(folder), str(tmp_path / "first"))
+    tables.write_sessions(tables.scan(spark, str(tmp_path / "first")), table)
+    assert run_clean(spark, str(folder), table).files == 0 and states(spark, table) == {"a.csv": ("stored", None)}
+
+
+def test_many_small_files_cost_no_call_each(spark, tmp_path, monkeypatch):
+    """Listing 1,500 files takes as many calls into the JVM as listing 15, empty files aside."""
+    calls = []
+    client = spark.sparkContext._gateway._gateway_client
+    send = type(client).send_command
+    monkeypatch.setattr(type(client), "send_command", lambda self, *a, **k: calls.append(1) or send(self, *a, **k))
+    counts = []
+    for size in (15, 1500):
+        folder = tmp_path / f"in{size}"
+        folder.mkdir()
+        for i in range(size):
+            (folder / f"{i}.csv").write_text("x")
+        (folder / "zero.csv").write_text("")
+        calls.clear()
+        listed = landing.list_landing(spark, str(folder))
+        counts.append(len(calls))
+        assert listed.count() == size + 1 and listed.where("length = 0").count() == 1
+    assert counts[1] <= counts[0] + 20

@@ -18,7 +18,7 @@ from demandgauge.operators import cleaning as C
 from demandgauge.operators.metrics import null_counts
 from demandgauge.plans.clean_run import run_clean
 from demandgauge.session import materialise, working_folder
-from demandgauge.sources import landing, tables, xlsx
+from demandgauge.sources import landing, ledger, tables, xlsx
 from demandgauge.streaming.incremental import clean_stream
 
 from . import inputs as I
@@ -275,6 +275,49 @@ def clean_run(spark, d):
     return _shown(tables.scan(spark, table))
 
 
+def write_kinds(spark, d) -> str:
+    """The raw events as one folder per kind of file: by user, a fifth lacks a required column, a fifth has two start columns."""
+    user = F.coalesce(F.trim(F.col("cp_id"), F.lit("\t ")).try_cast("int") % 5, F.lit(2))
+    rows = raw_sessions(spark, d).withColumn("user_kind", user)
+    base = os.path.join(working_folder(spark), f"kinds-{uuid.uuid4().hex}")
+    whole = {"Display ID": "cp_id", "Start": "start_time", "Duration": "duration", "consum": "consumption_kwh",
+             "connector": "connector", "Site_Name": "site_name", "connector type": "connector_type", "Currency": "currency", "Amount": "amount"}
+    kinds = {
+        "short": (F.col("user_kind") == 0, {h: c for h, c in whole.items() if h != "consum"}),
+        "twice": (F.col("user_kind") == 1, whole | {"StartTime": "end_time"}),
+        "first": (F.col("user_kind") == 2, whole),
+        "whole": (F.col("user_kind") > 2, whole),
+    }
+    for kind, (chosen, header) in kinds.items():
+        rows.where(chosen).select(*[F.col(c).alias(h) for h, c in header.items()]).write.csv(os.path.join(base, kind), header=True)
+    return base
+
+
+def file_outcomes(spark, d):
+    """What two runs note of the files of each kind (the second meets all folders), and the sessions stored of it."""
+    base, table = write_kinds(spark, d), os.path.join(working_folder(spark), f"sessions-{uuid.uuid4().hex}")
+    folders = [os.path.join(base, kind) for kind in ("first", "short", "twice", "whole")]
+    run_clean(spark, folders[0], table)
+    run_clean(spark, folders, table)
+    files = landing.list_landing(spark, folders).select(
+        "file_name", F.regexp_extract("path", r"/(\w+)/[^/]+$", 1).alias("kind"))
+    states = files.join(ledger.latest(spark.read.parquet(ledger.ledger_path(table))), "file_name", "left")
+    stored = tables.scan(spark, table, ["source_file"]).groupBy("source_file").agg(F.count(F.lit(1)).alias("sessions"))
+    shown = states.join(stored, F.col("file_name") == F.col("source_file"), "left")
+    return shown.groupBy("kind", "state", "reason").agg(F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"))
+
+
+def clean_reruns(spark, d):
+    """One run over some of the folders, a second over all, a third that finds nothing new; sessions with their kind of file."""
+    base, table = write_kinds(spark, d), os.path.join(working_folder(spark), f"sessions-{uuid.uuid4().hex}")
+    first, whole = (os.path.join(base, kind) for kind in ("first", "whole"))
+    for folders in (first, [first, whole], [first, whole]):
+        run_clean(spark, folders, table)
+    kinds = landing.list_landing(spark, [first, whole]).select(
+        F.col("file_name").alias("source_file"), F.regexp_extract("path", r"/(\w+)/[^/]+$", 1).alias("kind"))
+    return _shown(tables.scan(spark, table).join(kinds, "source_file", "left"), "kind")
+
+
 def incremental_clean_stream(spark, d):
     """The landing folder as a stream, run until it has nothing left."""
     base = os.path.join(working_folder(spark), f"stream-{uuid.uuid4().hex}")
@@ -381,6 +424,8 @@ QUERIES = {
     "clean_counts": clean_counts,
     "months_covered": months_covered,
     "clean_run": clean_run,
+    "file_outcomes": file_outcomes,
+    "clean_reruns": clean_reruns,
     "incremental_clean_stream": incremental_clean_stream,
     "workbooks": workbooks,
     "unprocessed_files": unprocessed_files,
@@ -394,6 +439,11 @@ _TITLE = "array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|[^\\
 _SHOWN = """p_site AS site_name, p_cp AS cp_id, p_type AS connector_type, p_conn AS connector, currency,
        p_amount AS amount, p_kwh AS consumption_kwh, round(p_minutes, 6) AS duration_minutes,
        epoch_us(p_start) AS start_us, epoch_us(p_end) AS end_us, year_month"""
+# Files of these kinds have no end column, so every end follows from start and duration.
+_KINDS = RAW_SQL[:RAW_SQL.index("deduped AS (")].replace(
+    "CASE WHEN has_end_time THEN try_strptime(end_time, '%d/%m/%Y %H:%M:%S')", "CASE WHEN false THEN p_start").rstrip().rstrip(",")
+_KINDS = f"""WITH {_KINDS}, {RAW_SQL[RAW_SQL.index("deduped AS ("):]},
+kinds AS (SELECT *, coalesce(TRY_CAST(p_cp AS INTEGER) % 5, 2) AS user_kind FROM clean)"""
 _HEADER_CASE = "CASE event_id % {n} ".format(n=len(_HEADERS)) + " ".join(
     f"WHEN {i} THEN '{name}'" for i, name in enumerate(
         [name for name, spellings in K.HEADER_SPELLINGS.items() for _ in spellings]
@@ -450,6 +500,13 @@ SELECT (SELECT count(*) FROM deduped) AS deduplicated, (SELECT count(*) FROM ide
     "months_covered": _WITH_RAW + " SELECT DISTINCT year_month FROM clean ORDER BY 1",
     "clean_run": _WITH_RAW + f" SELECT {_SHOWN} FROM clean",
     "incremental_clean_stream": _WITH_RAW + f" SELECT {_SHOWN} FROM clean",
+    "file_outcomes": _KINDS + """
+SELECT 'first' AS kind, 'stored' AS state, CAST(NULL AS VARCHAR) AS reason, count(*) AS sessions FROM kinds WHERE user_kind = 2
+UNION ALL SELECT 'whole', 'stored', NULL, count(*) FROM kinds WHERE user_kind > 2
+UNION ALL SELECT 'short', 'unusable', 'missing required columns: consumption_kwh', 0
+UNION ALL SELECT 'twice', 'unusable', 'two headers for one column', 0""",
+    "clean_reruns": _KINDS + f"""
+SELECT {_SHOWN}, CASE user_kind WHEN 2 THEN 'first' ELSE 'whole' END AS kind FROM kinds WHERE user_kind >= 2""",
     "workbooks": f"""
 SELECT CAST(o_custkey AS VARCHAR) AS cp_id, o_orderpriority[1:1] AS connector,
        CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) + o_orderkey % 1440 * 60 AS start_s,
