@@ -64,6 +64,46 @@ def test_interval_join_spreads_a_hot_point(spark):
     assert cells.count() <= 3 * n  # levels that the long span does not use are left out
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_interval_load_equals_sums_over_pairs(spark, seed):
+    """Equal to the sums over all pairs, also with repeated rows and parts of a second."""
+    rng = random.Random(seed)
+    keys = ["hot"] * 5 + ["x", None]
+    part = lambda t: t and t + dt.timedelta(microseconds=rng.choice([0, 0, 300_000, 999_999]))
+    left = [(i, k, part(a), part(b)) for i, k, a, b in spans(rng, 300, keys, 60 * 24 * 300)]
+    right = [(j, k, part(a), part(b)) for j, k, a, b in spans(rng, 200, keys, 60 * 24 * 900)]
+    right += right[:40]
+    sides = (spark.createDataFrame(left, "i int, k string, ls timestamp, le timestamp"),
+             spark.createDataFrame(right, "j int, k string, rs timestamp, re timestamp"))
+    got = interval_join(*sides, ["k"], ("ls", "le"), ("rs", "re"), load=("n", "s"))
+    assert got.columns == ["j", "k", "rs", "re", "n", "s"]
+    ok = lambda k, a, b: k is not None and a is not None and b is not None and a < b
+    whole = lambda t: (t - dt.datetime(2000, 1, 1)) // dt.timedelta(seconds=1)
+    want = []
+    for j, m, c, d in right:
+        met = [whole(min(b, d)) - whole(max(a, c)) for _, k, a, b in left if k == m and ok(k, a, b) and ok(m, c, d) and a < d and c < b]
+        if met:
+            want.append((j, len(met), sum(met)))
+    assert sorted((r.j, r.n, r.s) for r in got.collect()) == sorted(want) and len(want) > 50
+    with pytest.raises(ValueError, match="both sides"):
+        interval_join(*sides, ["k"], ("ls", "le"), ("rs", "re"), load=("j", "s"))
+
+
+def test_outage_load_makes_no_pairs(spark, tmp_path):
+    """2,000 sessions and 2,000 outages of one point at one time are 4 million pairs; no step of the query has more than a few rows for each."""
+    from workload import time_joins
+
+    n, day = 2000, dt.datetime(1996, 1, 1)
+    spark.range(n).select((F.col("id") * 3).alias("l_orderkey"), F.lit(1).cast("bigint").alias("l_partkey"), F.lit(1).cast("bigint").alias("l_suppkey"),
+                          F.lit(1).cast("bigint").alias("l_linenumber"), F.lit(20.0).alias("l_quantity"), F.lit(1.0).alias("l_extendedprice"),
+                          F.lit(day).alias("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(n).select((F.col("id") * 3).alias("o_orderkey"), F.lit(1).cast("bigint").alias("o_custkey"), F.lit(day).alias("o_orderdate")).write.parquet(
+        str(tmp_path / "orders.parquet"))
+    found = time_joins.outage_load(spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.agg(F.sum("sessions")).head()[0] > n * n / 3
+
+
 @pytest.mark.parametrize("tolerance", [None, 7200])
 def test_asof_join_equals_plain_search(spark, tolerance):
     rng = random.Random(8)

@@ -48,8 +48,9 @@ def _one_hot(df: DataFrame, key: str) -> DataFrame:
 def outage_load(spark, d):
     """Sessions met and seconds lost per outage, where one point holds a third of all rows."""
     items = _one_hot(I.lineitem_sessions(spark, d).select("cp_id", "start_time", "end_time", "l_orderkey"), "l_orderkey")
-    met = interval_join(items, _one_hot(outages(spark, d), "outage"), ["cp_id"], ("start_time", "end_time"), ("out_from", "out_until"))
-    return met.groupBy("cp_id", "outage").agg(F.count(F.lit(1)).alias("sessions"), F.sum(_overlap()).alias("lost_s"))
+    met = interval_join(items, _one_hot(outages(spark, d), "outage"), ["cp_id"], ("start_time", "end_time"), ("out_from", "out_until"),
+                        load=("sessions", "lost_s"))
+    return met.groupBy("cp_id", "outage").agg(F.sum("sessions").alias("sessions"), F.sum("lost_s").alias("lost_s"))
 
 
 def tariffs(spark, d) -> DataFrame:
