@@ -21,9 +21,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.frames import computed_once
 from .asof import slice_of
 
-#: Width of the finest bucket, number of levels, doublings from one level to the next, shares of a wide bucket.
+#: Width of the finest bucket, number of levels, doublings from one level to the next, most shares of a wide bucket.
 FINEST_SECONDS, LEVELS, STEP, SHARES = 3600, 6, 4, 8
 #: Width of a slice of the running sums.
 SLICE_SECONDS = 86400
@@ -52,10 +53,10 @@ def interval_join(
     near = _cells(*long, "_l", _LEFT_LONG, _RIGHT_LONG, finest)
     far = _cells(long[1], long[0], "_r", _RIGHT_LONG, _LEFT_LONG, finest)
     met = near.join(far, [*keys, "_cell"])
-    later = F.greatest("_l_start", "_r_start")
-    bucket = _bucket(later, F.col("_cell.level"), finest)
-    overlap = (F.col("_l_start") < F.col("_r_end")) & (F.col("_r_start") < F.col("_l_end"))
-    return met.where(overlap & (F.col("_cell.bucket") == bucket)).select(
+    (left_start, left_end), (right_start, right_end) = _span(left_span), _span(right_span)
+    bucket = _bucket(F.greatest(left_start, right_start), F.shiftright("_cell", 8).bitwiseAND(7).cast("int"), finest)
+    overlap = (left_start < right_end) & (right_start < left_end)
+    return met.where(overlap & (F.shiftright("_cell", 11) == bucket)).select(
         *left.columns, *[c for c in right.columns if c not in keys])
 
 
@@ -77,35 +78,31 @@ def _bucket(at: Column, level: Column, finest: int) -> Column:
     return F.call_function("div", at - F.pmod(at, width), width)
 
 
-def _buckets(name: str, level: Column, finest: int) -> Column:
-    return F.sequence(_bucket(F.col(f"{name}_start"), level, finest), _bucket(F.col(f"{name}_end") - 1, level, finest))
+def _shares(gap: int) -> int:
+    return min(SHARES, 1 << gap - 1)
 
 
 def _cells(own: DataFrame, other: DataFrame, name: str, as_long: int, as_short: int, finest: int) -> DataFrame:
-    """``own`` once per cell (role, level, bucket, share) in which it can meet a row of ``other``."""
-    level = F.col(f"{name}_level")
+    """``own`` once per cell in which it can meet a row of ``other``: bucket, level, role and share, packed into one number."""
     other_level = next(c for c in other.columns if c in ("_l_level", "_r_level"))
-    share = F.pmod(F.xxhash64(f"{name}_start", f"{name}_end"), F.lit(SHARES)).cast("int")
-
-    def cell(role: int, at: Column, bucket: Column, part: Column) -> Column:
-        return F.struct(F.lit(role).alias("role"), at.cast("int").alias("level"), bucket.alias("bucket"), part.cast("int").alias("share"))
-
-    home = _buckets(name, level, finest)
-    direct = F.transform(home, lambda b: cell(_BOTH, level, b, F.lit(0)))
-    offered = F.when(level > 0, F.flatten(F.transform(home, lambda b: F.transform(
-        F.sequence(F.lit(0), F.lit(SHARES - 1)), lambda s: cell(as_long, level, b, s))))).otherwise(F.array())
-    wider = F.when(level < LEVELS - 1, F.flatten(F.transform(F.sequence(level + 1, F.lit(LEVELS - 1)), lambda m: F.transform(
-        _buckets(name, m, finest), lambda b: cell(as_short, m, b, share))))).otherwise(F.array())
-    # What the other side can answer: its home levels directly and as the longer one, all levels above them as the shorter one.
-    its = other.select(F.col(other_level).alias("_m")).distinct()
-    answered = its.select(F.explode(F.concat(
-        F.array(*[F.struct(F.lit(r).alias("_role"), F.col("_m").alias("_level")) for r in (_BOTH, as_short)]),
-        F.when(F.col("_m") < LEVELS - 1, F.transform(F.sequence(F.col("_m") + 1, F.lit(LEVELS - 1)), lambda m: F.struct(
-            F.lit(as_long).alias("_role"), m.alias("_level")))).otherwise(F.array()))).alias("a")).select("a.*").distinct()
-    spread = own.select(
-        *[c for c in own.columns if c != f"{name}_level"], F.explode(F.concat(direct, offered, wider)).alias("_cell"))
-    wanted = (F.col("_cell.role") == F.col("_role")) & (F.col("_cell.level") == F.col("_level"))
-    return spread.join(F.broadcast(answered), wanted, "left_semi")
+    # By own level and by home level of the other side, where they meet; of several shares a long span takes all, a short one its own.
+    places = []
+    for mine in range(LEVELS):
+        for its in range(LEVELS):
+            gap = abs(mine - its)
+            role = _BOTH if not gap else as_long if mine > its else as_short
+            for share in range(_shares(gap) if mine > its else 1):
+                places.append((mine, its, max(mine, its), role, 8 * gap + share, _shares(gap) if mine < its else 1))
+    names = ("_mine", "_its", "_level", "_role", "_share", "_dealt")
+    literal = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, place, strict=True)]) for place in places])
+    used = other.select(F.col(other_level).alias("_m")).distinct().select("_m", F.inline(literal)).where("_its = _m").drop("_m", "_its")
+    level, share = F.col("_level"), F.pmod(F.xxhash64(f"{name}_start", f"{name}_end"), "_dealt") + F.col("_share")
+    buckets = F.sequence(_bucket(F.col(f"{name}_start"), level, finest), _bucket(F.col(f"{name}_end") - 1, level, finest))
+    # Computed before the join, so that it stays an equi-join also where all spans are as long.
+    own = computed_once(own, {f"{name}_level": F.col(f"{name}_level")})
+    spread = own.join(F.broadcast(used), F.col(f"{name}_level") == F.col("_mine")).select(
+        *own.columns, (level * 256 + F.col("_role") * 64 + share).cast("bigint").alias("_place"), F.explode(buckets).alias("_at"))
+    return spread.select(*[c for c in own.columns if c not in (f"{name}_start", f"{name}_end", f"{name}_level")], (F.shiftleft("_at", 11) + F.col("_place")).alias("_cell"))
 
 
 def _load(

@@ -104,6 +104,19 @@ def test_outage_load_makes_no_pairs(spark, tmp_path):
     assert found.agg(F.sum("sessions")).head()[0] > n * n / 3
 
 
+def test_interval_join_makes_few_cells(spark):
+    """A span of one level is offered to spans of the next level once, not to eight shares."""
+    from demandgauge.operators import intervals as V
+
+    base = spark.range(1000).select(F.lit("a").alias("k"), F.timestamp_seconds(F.col("id") * 57600).alias("ls"))
+    long = base.withColumn("le", F.col("ls") + F.expr("INTERVAL 10 HOURS"))
+    short = base.select("k", F.col("ls").alias("rs"), (F.col("ls") + F.expr("INTERVAL 50 MINUTES")).alias("re"))
+    homes = V._at_home(long, ["k"], ("ls", "le"), "_l", 3600 * 10**6), V._at_home(short, ["k"], ("rs", "re"), "_r", 3600 * 10**6)
+    cells = V._cells(*homes, "_l", V._LEFT_LONG, V._RIGHT_LONG, 3600 * 10**6)
+    assert cells.count() == 1000 and "_l_start" not in cells.columns
+    assert interval_join(long, short, ["k"], ("ls", "le"), ("rs", "re")).count() == 1000
+
+
 @pytest.mark.parametrize("tolerance", [None, 7200])
 def test_asof_join_equals_plain_search(spark, tolerance):
     rng = random.Random(8)
