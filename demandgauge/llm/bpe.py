@@ -17,6 +17,8 @@ an id that the vocabulary lacks raises an error.
 from __future__ import annotations
 
 import base64
+import functools
+import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -35,9 +37,42 @@ LONG = 256
 WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of pieces that a worker remembers (about; only a memory of results), new pieces encoded at once, characters cut at once.
 MEMORY, FLUSH, WINDOW = 3 << 25, 1 << 16, 1 << 20
+#: Cells of a matrix of pieces: about 100 bytes a cell are in use while they are merged.
+CELLS = 1 << 17
 _CUT = regex.compile(r"(?<=[^\s\x1c-\x1f\x85\u180e])(?= [\s\S])")
 
 
+#: The same matches in an order that meets letters first: none of these alternatives begins where an earlier one could.
+_LETTERS_FIRST = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@functools.cache
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of ``pattern`` in a text.
+
+    For ``WORDS_PATTERN`` Python's own ``re`` finds them in half the time, with the classes of ``regex`` written out; it is fast
+    only for classes below U+10000, so texts with later characters go to ``regex``.
+    """
+    whole = regex.compile(pattern).findall
+    if pattern != WORDS_PATTERN:
+        return whole
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    letters, numbers, spaces = ("".join(
+        f"{re.escape(run[0])}-{re.escape(run[-1])}" for run in _runs(regex.findall(one, every))) for one in (r"\p{L}", r"\p{N}", r"\s"))
+    written = _LETTERS_FIRST.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]")
+    for name, members in ((r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\s", f"[{spaces}]"), (r"\S", f"[^{spaces}]")):
+        written = written.replace(name, members)
+    near = re.compile(written).findall
+    return lambda text: near(text) if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else whole(text)
+
+
+def _runs(members: list[str]) -> Iterator[str]:
+    """Ascending characters as runs without a gap."""
+    codes = np.array([ord(c) for c in members])
+    for run in np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1):
+        yield "".join(map(chr, run))
+
+
 class _Numbers(dict):
     """The number of each piece met; new ones are noted."""
 
@@ -52,16 +87,18 @@ class _Numbers(dict):
 
 
 class Pieces:
-    """Encodes texts piece by piece and remembers the ids of pieces met before, up to ``MEMORY`` bytes.
+    """Encodes texts piece by piece and remembers the ids of pieces met before, up to ``MEMORY`` bytes or a share of that.
 
     A text is cut by the pattern, a long one in windows: with ``WORDS_PATTERN`` no match goes on from a character that is no
     white space to a space, and none looks back, so a text may be cut there.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], bool] | None = None):
-        """``encode``: pieces -> their ids, one after another, and how many each has.  ``whole``: texts that are one piece."""
-        self.find, self.cuts = regex.compile(pattern).findall, pattern == WORDS_PATTERN
-        self.encode, self.whole = encode, whole
+    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], bool] | None = None,
+                 share: int = 1):
+        """``encode``: pieces -> their ids, one after another, and how many each has.  ``whole``: texts that are one piece.
+        ``share``: how many of these a task may have, which divide ``MEMORY``."""
+        self.find, self.cuts = cutter(pattern), pattern == WORDS_PATTERN
+        self.encode, self.whole, self.share = encode, whole, share
         self.numbers, self.bytes, self.longest = _Numbers(), 0, 0
         self.ids, self.sizes, self.hits = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
@@ -108,8 +145,9 @@ class Pieces:
         out = self.ids[gather((np.cumsum(self.sizes) - self.sizes)[pieces], n, np.cumsum(n))]
         held.clear()
         owner.clear()
-        if self.bytes > MEMORY or self.longest > LONG:
-            self._forget(self.bytes > MEMORY)
+        full = self.bytes > MEMORY // self.share
+        if full or self.longest > LONG:
+            self._forget(full)
         return out
 
     def _forget(self, many: bool) -> None:
@@ -163,12 +201,11 @@ class Pairs:
 
 
 class Vocabulary:
+    """Encodes and decodes; the half that encodes is built when it is first used, since some workers only decode."""
+
     def __init__(self, rank_file: bytes, pattern: str):
+        self.pattern = pattern
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
-        split = [(self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t))
-                 if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.pairs = Pairs(*np.array(split, dtype=np.int64).reshape(-1, 3).T)
-        self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         size = max(self.ranks.values(), default=-1) + 1
         self.lengths = np.zeros(size, dtype=np.int64)
         token = [b""] * size
@@ -176,7 +213,22 @@ class Vocabulary:
             self.lengths[n], token[n] = len(t), t
         self.flat = np.frombuffer(b"".join(token), dtype=np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.encode_batch = Pieces(pattern, lambda pieces: self.merge([piece.encode() for piece in pieces])).encode_batch
+
+    @functools.cached_property
+    def pairs(self) -> Pairs:
+        split = np.fromiter(chain.from_iterable(
+            (self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t))
+            if t[:i] in self.ranks and t[i:] in self.ranks), dtype=np.int64)
+        return Pairs(*split.reshape(-1, 3).T)
+
+    @functools.cached_property
+    def single(self) -> np.ndarray:
+        return np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
+
+    @functools.cached_property
+    def encode_batch(self) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+        # Half the memory: a task has two workers, one to encode and one to decode, and over time each of them does both.
+        return Pieces(self.pattern, lambda pieces: self.merge([piece.encode() for piece in pieces]), share=2).encode_batch
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces, one after another, and how many each has."""
@@ -191,8 +243,9 @@ class Vocabulary:
             else:
                 buckets.setdefault((len(p) + 3) // 4, []).append(i)
         for width, rows in buckets.items():
-            for i in range(0, len(rows), 1 << 14):
-                part = rows[i:i + (1 << 14)]
+            step = CELLS // (4 * width)
+            for i in range(0, len(rows), step):
+                part = rows[i:i + step]
                 for row, ids in zip(part, self._merge_matrix([pieces[j] for j in part], 4 * width), strict=True):
                     out[row] = ids
         sizes = np.array([len(x) for x in out], dtype=np.int64)

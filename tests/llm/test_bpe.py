@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import regex
 import tiktoken
 
 from demandgauge.llm import bpe
@@ -84,3 +85,30 @@ def test_query(spark):
         ids = lib.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_cutter_equals_the_pattern():
+    """Python's re finds what the pattern finds: over all characters, and in random mixes of them."""
+    rnd, own = random.Random(5), regex.compile(P.PATTERN).findall
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    odd = "'s't're've'm'll'd 'S''r v1\u00b2\u0660a\u0301 \t\n\r\x0b\x1c\x85\xa0\u180e\u2003\u3000\u2028_-.\u4e00\u2160\U0001F600\U00010400"
+    mixes = ["".join(rnd.choice(odd) for _ in range(60)) for _ in range(2000)] + ["".join(rnd.choices(every, k=200)) for _ in range(200)]
+    for text in [every, every[:0xF800], *(" ".join(every[i:i + 5000]) for i in range(0, 0xF800, 5000)), *mixes, *(t or "" for t in texts())]:
+        assert bpe.cutter(P.PATTERN)(text) == own(text)
+    assert bpe.cutter(r"[a-z]+")("ab 1") == ["ab"]
+
+
+def test_merging_many_wide_pieces_stays_small(monkeypatch):
+    """A matrix is bounded in cells, not in rows; wide pieces took gigabytes a worker when many came at once."""
+    vocabulary, rnd, widest = Vocabulary(open(FILE, "rb").read(), P.PATTERN), random.Random(3), []
+    merge = Vocabulary._merge_matrix
+    monkeypatch.setattr(Vocabulary, "_merge_matrix", lambda self, pieces, width: widest.append(len(pieces) * width) or merge(self, pieces, width))
+    pieces = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(250)) for _ in range(1200)]
+    ids, borders = vocabulary.encode_batch([" ".join(pieces)])
+    assert max(widest) <= 1 << 17
+    assert ids.tolist() == library().encode(" ".join(pieces), disallowed_special=())
+
+
+def test_decoding_builds_no_pairs():
+    vocabulary = Vocabulary(open(FILE, "rb").read(), P.PATTERN)
+    assert bytes(vocabulary.decode_batch(bpe.np.array([5, 300]), bpe.np.array([0, 2]))[0]) and "pairs" not in vars(vocabulary)
