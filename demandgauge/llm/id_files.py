@@ -33,6 +33,8 @@ from demandgauge.llm import words as W
 from demandgauge.llm.bpe import WINDOW, WORDS_PATTERN, Pieces
 
 BLOCK, STEP = 1 << 16, 256
+#: Blocks (of ``BLOCK`` ids or one document) decoded together: until they have this many ids.
+TOGETHER = 1 << 20
 _BLOCKS = ("part int, block int, start bigint, doc_ids array<bigint>, sizes array<int>, n bigint, payload binary, "
            "checkpoints array<bigint>")
 
@@ -86,7 +88,8 @@ def _tokenizer(content: Broadcast, pattern: str) -> tuple[int, Pieces]:
 
         def words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # Matches of the tokenizer's own pattern: its model is all that is left to apply.
-            return _flat([[token.id for token in model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))] for piece in pieces])
+            shown = [piece.encode().decode("latin-1").translate(_SHOWN) for piece in pieces]
+            return _flat([[token.id for token in tokens] for tokens in map(model.tokenize, shown)])
 
         def mixed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if not any(map(special, texts)):
@@ -199,22 +202,41 @@ class Table:
         self.size[:filled] = np.repeat(lengths[ids][order], span)
 
     def unpack(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
-        if not n:
-            return np.zeros(0, dtype=np.uint32)
+        return self.unpack_all([payload], [checkpoints], [n])[0]
+
+    def unpack_all(self, payloads: list[bytes], checkpoints: list[np.ndarray], n: list[int]) -> list[np.ndarray]:
+        """The ids of several blocks, walked through together: a step costs hardly more for many checkpoints than for few."""
+        if not any(n):
+            return [np.zeros(0, dtype=np.uint32) for _ in n]
         room = STEP * self.width // 8 + 16  # the last lane may read on past its end
-        raw = np.frombuffer(payload + b"\0" * (room + -(len(payload) + room) % 4), dtype=">u4").astype(np.uint64)
-        at, out = checkpoints.astype(np.int64), np.empty((STEP, len(checkpoints)), dtype=np.uint32)
+        padded = [payload + b"\0" * (-len(payload) % 4) for payload in payloads]
+        raw = np.frombuffer(b"".join([*padded, b"\0" * (room + -room % 4)]), dtype=">u4").astype(np.uint64)
+        first = np.cumsum([0, *map(len, padded)]) * 8
+        at = np.concatenate([np.asarray(own, dtype=np.int64) + begin for own, begin in zip(checkpoints, first[:-1], strict=True)])
+        # Lanes of earlier blocks may read on into the next one; what they find there is cut off below.
+        steps = min(STEP, max(n))
+        out = np.empty((steps, len(at)), dtype=np.uint32)
         mask, width = np.uint64((1 << self.width) - 1), 64 - self.width
-        for i in range(min(STEP, n)):
+        for i in range(steps):
             word = at >> 5
             bits = ((raw[word] << np.uint64(32) | raw[word + 1]) >> (width - (at & 31)).astype(np.uint64)) & mask
             out[i] = self.id[bits]
             at = at + self.size[bits]
-        return out.T.ravel()[:n]
+        lanes = np.cumsum([0, *map(len, checkpoints)])
+        return [out[:, a:b].T.ravel()[:size] for a, b, size in zip(lanes[:-1], lanes[1:], n, strict=True)]
 
 
 # --- files --------------------------------------------------------------------------------------
 
+def _packed(rows: pa.Array, kind: str) -> np.ndarray:
+    """The numbers of all rows of a binary array, one after another; null rows have none."""
+    rows = rows.drop_null()
+    if not len(rows):
+        return np.zeros(0, dtype=kind)
+    ends = np.frombuffer(rows.buffers()[1], dtype=np.int32 if pa.types.is_binary(rows.type) else np.int64)[rows.offset:rows.offset + len(rows) + 1]
+    return np.frombuffer(rows.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]].view(kind)
+
+
 def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs: counted per batch in the tasks, summed by Spark; one number per id comes back."""
     kind = number(vocabulary)
@@ -222,9 +244,9 @@ def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for row in batch.column(0):
-                if row.is_valid:
-                    total += np.bincount(np.frombuffer(row.as_buffer(), dtype=kind), minlength=vocabulary)
+            numbers = _packed(batch.column(0), kind)
+            for at in range(0, len(numbers), TOGETHER):
+                total += np.bincount(numbers[at:at + TOGETHER], minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["id", "n"])
 
@@ -285,12 +307,19 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         lengths, before = shared.value
         table = Table(lengths)
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = table.unpack(row["payload"], np.array(row["checkpoints"], dtype=np.int64), row["n"])
-                ends = np.cumsum(row["sizes"])
-                runs = np.split(ids.astype("<u4"), ends[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(before[row["part"]] + row["start"] + ends - row["sizes"], pa.int64()),
-                     pa.array([x.tobytes() for x in runs], pa.binary())], ["doc_id", "start", "ids"])
+            sizes, at = batch.column("n").to_numpy(), 0
+            while at < batch.num_rows:
+                # As many blocks as stay within TOGETHER, one at least.
+                some = batch.slice(at, max(1, int(np.searchsorted(np.cumsum(sizes[at:]), TOGETHER, side="right"))))
+                at += some.num_rows
+                rows = some.to_pylist()
+                found = table.unpack_all([r["payload"] for r in rows], [np.array(r["checkpoints"], dtype=np.int64) for r in rows], [r["n"] for r in rows])
+                for row, ids in zip(rows, found, strict=True):
+                    ends = np.cumsum(row["sizes"])
+                    data = ids.astype("<u4").tobytes()
+                    borders = [0, *(4 * ends).tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(row["doc_ids"], pa.int64()), pa.array(before[row["part"]] + row["start"] + ends - row["sizes"], pa.int64()),
+                         pa.array([data[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary())], ["doc_id", "start", "ids"])
 
     return blocks.mapInArrow(documents, "doc_id bigint, start bigint, ids binary")

@@ -81,3 +81,25 @@ def test_edge_rows(spark, tmp_path):
     assert got == expected(docs)
     id_files.write_ids(df.limit(0).select("doc_id", encode(df["text"]).alias("ids")), str(tmp_path / "b"), 50257)
     assert id_files.read_ids(spark, str(tmp_path / "b")).collect() == []
+
+
+def test_blocks_are_decoded_together(monkeypatch):
+    """Several blocks take the steps of one; their results are those of each alone, also for small and empty ones."""
+    rng = np.random.default_rng(4)
+    ids = [rng.integers(0, 400, n) ** 2 // 400 for n in (0, 3, 700, 256, 0, 5000, 1)]
+    lengths = id_files.code_lengths(np.bincount(np.concatenate(ids), minlength=400))
+    table, packed = id_files.Table(lengths), [id_files.pack(x, id_files.codes(lengths), lengths) for x in ids]
+    steps = []
+    monkeypatch.setattr(id_files, "range", lambda *a: steps.append(a) or range(*a), raising=False)
+    found = table.unpack_all([p for p, _ in packed], [c for _, c in packed], [len(x) for x in ids])
+    assert [x.tolist() for x in found] == [x.tolist() for x in ids] and steps == [(id_files.STEP,)]
+    assert [len(x) for x in table.unpack_all([b"", b""], [np.zeros(0, np.int64)] * 2, [0, 0])] == [0, 0]
+
+
+def test_ids_are_counted_by_batch(spark, monkeypatch):
+    """One count of a batch's numbers, also of slices and with null rows."""
+    rows = id_files.pa.array([b"\x01\x00\x02\x00", None, b"", b"\x02\x00"], id_files.pa.binary())
+    assert id_files._packed(rows, "<u2").tolist() == [1, 2, 2] and id_files._packed(rows[1:], "<u2").tolist() == [2]
+    assert id_files._packed(rows[1:3], "<u2").tolist() == [] and id_files._packed(rows[:0], "<u2").tolist() == []
+    frame = spark.createDataFrame([(bytearray(b"\x01\x00\x02\x00"),), (None,), (bytearray(b""),), (bytearray(b"\x02\x00"),)], "ids binary")
+    assert id_files.id_counts(frame, 4).tolist() == [0, 1, 2, 0]
