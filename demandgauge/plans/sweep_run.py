@@ -7,8 +7,8 @@ Three append-only tables, one folder per run, all additive over runs:
 - ``levels`` (cp_id, slice, running, seconds): time added to, or with a minus taken from, each level of concurrency.
 
 A session touches the slices from its start to its end; outside them neither changes nor the concurrency carried into
-a slice differ.  For those slices the levels are computed twice, without and with the new sessions, from the
-stored changes of just these slices; the difference is what the run stores.  Reading is one sum.
+a slice differ.  For those slices concurrency without and with the new sessions is summed up side by side, from the
+stored changes of just these slices; where the two differ, the run stores what is added and taken.  Reading is one sum.
 """
 
 from __future__ import annotations
@@ -44,15 +44,14 @@ def add_sessions(spark: SparkSession, sessions: DataFrame, path: str, run: int)
         "overwrite").partitionBy("period").parquet(f"{path}/changes/run={run}")
     new = _run(spark, path, "changes", _CHANGES, [run]).drop("period")
     new.groupBy(*cut).agg(F.sum("change").alias("net")).where("net <> 0").write.mode("overwrite").parquet(f"{path}/nets/run={run}")
-    before, upto = list(range(run)), list(range(run + 1))
+    before = list(range(run))
     # The period is in the join so that only the files of touched periods are read.
     old = _run(spark, path, "changes", _CHANGES, before).join(
         touched.withColumn("period", _period()), ["period", *cut], "left_semi").drop("period")
-    without = _levels(old, _carried(_run(spark, path, "nets", _NETS, before), touched))
-    with_new = _levels(
-        old.unionByName(new).groupBy(*cut, "second").agg(F.sum("change").alias("change")), _carried(_run(spark, path, "nets", _NETS, upto), touched))
-    difference = with_new.unionByName(without.withColumn("seconds", -F.col("seconds"))).groupBy(*cut, "running").agg(F.sum("seconds").alias("seconds"))
-    difference.where("seconds <> 0").write.mode("overwrite").parquet(f"{path}/levels/run={run}")
+    nets = _run(spark, path, "nets", _NETS, before).withColumn("old", F.col("net")).unionByName(
+        _run(spark, path, "nets", _NETS, [run]).withColumn("old", F.lit(0).cast("bigint")))
+    changes = old.withColumn("old", F.col("change")).unionByName(new.withColumn("old", F.lit(0).cast("bigint")))
+    _difference(changes, _carried(nets, touched)).write.mode("overwrite").parquet(f"{path}/levels/run={run}")
 
 
 def stored_levels(spark: SparkSession, path: str, runs: int) -> DataFrame:
@@ -73,21 +72,31 @@ def _run(spark: SparkSession, path: str, table: str, schema: str, runs: list[int
 
 
 def _carried(nets: DataFrame, touched: DataFrame) -> DataFrame:
-    """(cp_id, slice, carried): concurrency at the start of each touched slice."""
-    points = touched.select("cp_id").distinct()
-    both = nets.join(points, "cp_id", "left_semi").unionByName(touched.withColumn("net", F.lit(None).cast("bigint")))
-    summed = both.groupBy("cp_id", "slice").agg(F.coalesce(F.sum("net"), F.lit(0)).alias("net"), F.count_if(F.col("net").isNull()).alias("asked"))
+    """(cp_id, slice, old, carried): concurrency at the start of each touched slice, without and with the new sessions."""
+    points, none = touched.select("cp_id").distinct(), F.lit(None).cast("bigint")
+    both = nets.join(points, "cp_id", "left_semi").unionByName(touched.withColumns({"net": none, "old": none}))
+    summed = both.groupBy("cp_id", "slice").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("old", "net")], F.count_if(F.col("net").isNull()).alias("asked"))
     earlier = Window.partitionBy("cp_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    return summed.select("cp_id", "slice", "asked", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("carried")).where("asked > 0").drop("asked")
-
-
-def _levels(changes: DataFrame, carried: DataFrame) -> DataFrame:
-    """(cp_id, slice, running, seconds) inside each slice of ``carried``."""
-    edges = carried.select("cp_id", "slice", F.inline(F.array(
-        F.struct((F.col("slice") * SLICE_SECONDS).alias("second"), F.col("carried").alias("change")),
-        F.struct(((F.col("slice") + 1) * SLICE_SECONDS).alias("second"), F.lit(0).cast("bigint").alias("change")))))
-    in_slice = Window.partitionBy("cp_id", "slice").orderBy("second")
-    running = changes.select("cp_id", "slice", "second", "change").unionByName(edges).select(
-        "cp_id", "slice", F.sum("change").over(in_slice).alias("running"),
-        (F.lead("second").over(in_slice) - F.col("second")).alias("seconds"))
-    return running.where("running > 0 AND seconds > 0").groupBy("cp_id", "slice", "running").agg(F.sum("seconds").alias("seconds"))
+    upto = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    return summed.select("cp_id", "slice", "asked", upto("old").alias("old"), upto("net").alias("carried")).where("asked > 0").drop("asked")
+
+
+def _difference(changes: DataFrame, carried: DataFrame) -> DataFrame:
+    """(cp_id, slice, running, seconds): time that each level gains or loses inside each slice of ``carried``.
+
+    ``changes`` has the change of a second (``change``) and what of it was there before (``old``).
+    """
+    cut = ["cp_id", "slice"]
+    edges = carried.select(*cut, F.inline(F.array(
+        F.struct((F.col("slice") * SLICE_SECONDS).alias("second"), F.col("old"), F.col("carried").alias("change")),
+        F.struct(((F.col("slice") + 1) * SLICE_SECONDS).alias("second"), F.lit(0).cast("bigint").alias("old"), F.lit(0).cast("bigint").alias("change")))))
+    # Dealt by slice once: the sums, the windows and the last sums below all find their rows together.
+    summed = changes.select(*cut, "second", "old", "change").unionByName(edges).repartition(*cut).groupBy(*cut, "second").agg(
+        F.sum("old").alias("old"), F.sum("change").alias("change"))
+    in_slice = Window.partitionBy(*cut).orderBy("second")
+    running = summed.select(*cut, F.sum("old").over(in_slice).alias("old"), F.sum("change").over(in_slice).alias("now"),
+                            (F.lead("second").over(in_slice) - F.col("second")).alias("seconds"))
+    return running.where("old <> now AND seconds > 0").select(*cut, F.inline(F.array(
+        F.struct(F.col("now").alias("running"), "seconds"), F.struct(F.col("old").alias("running"), (-F.col("seconds")).alias("seconds"))))).where(
+        "running > 0").groupBy(*cut, "running").agg(F.sum("seconds").alias("seconds")).where("seconds <> 0")

@@ -65,3 +65,17 @@ def test_only_touched_slices_are_stored_again(spark, tmp_path):
     again = spark.read.parquet(f"{path}/levels/run=1")
     assert again.select("cp_id", "slice").distinct().count() == 1
     assert again.agg(F.sum(F.col("running") * F.col("seconds"))).head()[0] == 3600
+
+
+def test_difference_is_one_pass(spark):
+    """Levels without and with new sessions are summed side by side: one shuffle of the changes, and the right difference."""
+    from demandgauge.plans import sweep_run
+
+    changes = spark.createDataFrame(
+        [("a", 0, 10, 1, 1), ("a", 0, 40, -1, -1), ("a", 0, 20, 0, 1), ("a", 0, 30, 0, -1), ("a", 0, 10, 0, 1), ("a", 0, 15, 0, -1)],
+        "cp_id string, slice bigint, second bigint, old bigint, change bigint")
+    carried = spark.createDataFrame([("a", 0, 0, 0), ("b", 1, 1, 2)], "cp_id string, slice bigint, old bigint, carried bigint")
+    found = sweep_run._difference(changes, carried)
+    width = sweep_run.SLICE_SECONDS
+    assert sorted(map(tuple, found.collect())) == [("a", 0, 1, -15), ("a", 0, 2, 15), ("b", 1, 1, -width), ("b", 1, 2, width)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # as planned and as run
