@@ -18,8 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -42,35 +41,73 @@ CELLS = 1 << 17
 _CUT = regex.compile(r"(?<=[^\s\x1c-\x1f\x85\u180e])(?= [\s\S])")
 
 
-#: The same matches in an order that meets letters first: none of these alternatives begins where an earlier one could.
-_LETTERS_FIRST = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LETTER, _NUMBER, _SPACE = 1, 2, 3
 
 
 @functools.cache
-def cutter(pattern: str) -> Callable[[str], list[str]]:
-    """All matches of ``pattern`` in a text.
+def _kinds() -> np.ndarray:
+    """For every character whether it is a letter, a number, white space, or (0) anything else."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.zeros(len(every), dtype=np.uint8)
+    for kind, members in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+        for run in regex.finditer(members, every):
+            kinds[run.start():run.end()] = kind
+    return kinds
+
 
-    For ``WORDS_PATTERN`` Python's own ``re`` finds them in half the time, with the classes of ``regex`` written out; it is fast
-    only for classes below U+10000, so texts with later characters go to ``regex``.
+def word_starts(codes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where matches of ``WORDS_PATTERN`` begin: a mask over the characters (code points) of texts that begin at ``texts``, none of them empty.
+
+    A match is a run of letters, numbers or other characters, with a space before it; of longer white space the last
+    character is a match by itself or that space.  Only a contraction ends within a run.
     """
-    whole = regex.compile(pattern).findall
-    if pattern != WORDS_PATTERN:
-        return whole
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
-    letters, numbers, spaces = ("".join(
-        f"{re.escape(run[0])}-{re.escape(run[-1])}" for run in _runs(regex.findall(one, every))) for one in (r"\p{L}", r"\p{N}", r"\s"))
-    written = _LETTERS_FIRST.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]")
-    for name, members in ((r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\s", f"[{spaces}]"), (r"\S", f"[^{spaces}]")):
-        written = written.replace(name, members)
-    near = re.compile(written).findall
-    return lambda text: near(text) if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else whole(text)
+    kind = _kinds().take(codes)
+    starts = np.ones(len(codes), dtype=bool)
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    starts[texts] = True
+    blank = kind == _SPACE
+    last = blank.copy()
+    last[:-1] &= ~blank[1:]
+    last[texts[1:] - 1] = last[-1:] = False  # white space at the end of a text is one match
+    starts |= last
+    starts[1:] &= ~(last[:-1] & (codes[:-1] == ord(" ")))
+    mark = np.flatnonzero((codes == ord("'")) & starts)
+    ends = np.append(texts[1:], len(codes))[np.searchsorted(texts, mark, side="right") - 1]
+    for size, endings in ((2, ("s", "t", "m", "d")), (3, ("re", "ve", "ll"))):
+        at = mark[mark + size <= ends]
+        found = np.zeros(len(at), dtype=bool)
+        for ending in endings:
+            found |= np.logical_and.reduce([codes[at + 1 + i] == ord(c) for i, c in enumerate(ending)])
+        at = at[found]
+        starts[at + 1] = False
+        starts[(at + size)[at + size < len(codes)]] = True
+    return starts
+
+
+def cut_words(texts: list[str], whole: Sequence[int] = ()) -> tuple[pa.Array, np.ndarray]:
+    """The matches of ``WORDS_PATTERN`` in all texts (a text numbered in ``whole`` is one), as bytes, and how many each text has."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    ends = np.cumsum(sizes)
+    joined = "".join(texts)
+    raw = joined.encode()
+    codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+    starts = word_starts(codes, (ends - sizes)[sizes > 0])
+    for i in whole:
+        starts[int(ends[i] - sizes[i]) + 1:int(ends[i])] = False
+    at = np.flatnonzero(starts)
+    counts = np.diff(np.searchsorted(at, ends), prepend=0)
+    if len(raw) > len(codes):
+        at = np.flatnonzero((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)[at]
+    borders = np.append(at, len(raw))
+    return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(borders), pa.py_buffer(raw)]), counts
 
 
-def _runs(members: list[str]) -> Iterator[str]:
-    """Ascending characters as runs without a gap."""
-    codes = np.array([ord(c) for c in members])
-    for run in np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1):
-        yield "".join(map(chr, run))
+@functools.cache
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of ``pattern`` in a text."""
+    if pattern != WORDS_PATTERN:
+        return regex.compile(pattern).findall
+    return lambda text: [piece.decode() for piece in cut_words([text])[0].to_numpy(zero_copy_only=False)]
 
 
 class _Numbers(dict):
@@ -78,9 +115,9 @@ class _Numbers(dict):
 
     def __init__(self):
         super().__init__()
-        self.fresh: list[str] = []
+        self.fresh: list[bytes] = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: bytes) -> int:
         n = self[piece] = len(self)
         self.fresh.append(piece)
         return n
@@ -89,11 +126,12 @@ class _Numbers(dict):
 class Pieces:
     """Encodes texts piece by piece and remembers the ids of pieces met before, up to ``MEMORY`` bytes or a share of that.
 
-    A text is cut by the pattern, a long one in windows: with ``WORDS_PATTERN`` no match goes on from a character that is no
-    white space to a space, and none looks back, so a text may be cut there.
+    Texts are cut by the pattern, many short ones together; each different piece of them is looked up once.  A long text is cut
+    in windows: with ``WORDS_PATTERN`` no match goes on from a character that is no white space to a space, and none looks
+    back, so a text may be cut there.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], bool] | None = None,
+    def __init__(self, pattern: str, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], bool] | None = None,
                  share: int = 1):
         """``encode``: pieces -> their ids, one after another, and how many each has.  ``whole``: texts that are one piece.
         ``share``: how many of these a task may have, which divide ``MEMORY``."""
@@ -104,47 +142,62 @@ class Pieces:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where those of each begin."""
-        out, held, owner, sizes = [], [], [], np.zeros(len(texts), dtype=np.int64)
+        out, sizes = [np.zeros(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64)
+        held, owner, whole, size = [], [], [], 0
         for i, text in enumerate(texts):
-            for units in self._units(text):
-                held.append(list(map(self.numbers.__getitem__, units)))
+            one = self.whole is not None and self.whole(text)
+            for part in [text] if one or not self.cuts else self._windows(text):
+                if size and size + len(part) > WINDOW:
+                    out.append(self._encode(held, owner, whole, sizes))
+                    held, owner, whole, size = [], [], [], 0
+                if one:
+                    whole.append(len(held))
+                held.append(part)
                 owner.append(i)
-                if len(self.numbers.fresh) >= FLUSH or len(units) >= FLUSH:
-                    out.append(self._flush(held, owner, sizes))
-        out.append(self._flush(held, owner, sizes))
+                size += len(part)
+        if held:
+            out.append(self._encode(held, owner, whole, sizes))
         return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
 
-    def _units(self, text: str) -> Iterator[list[str]]:
-        """The pieces of a text, in windows of about ``WINDOW`` characters."""
-        if self.whole is not None and self.whole(text):
-            yield [text]
-        elif not self.cuts or len(text) <= WINDOW:
-            yield self.find(text)
-        else:
-            at = 0
-            while at < len(text):
-                cut = _CUT.search(text, at + WINDOW)
-                end = cut.start() if cut else len(text)
-                yield self.find(text[at:end])
-                at = end
-
-    def _flush(self, held: list[list[int]], owner: list[int], sizes: np.ndarray) -> np.ndarray:
-        """The ids of what is held; new pieces are encoded."""
-        fresh = self.numbers.fresh
-        if fresh:
-            ids, n = self.encode(fresh)
+    def _windows(self, text: str) -> Iterator[str]:
+        """A text in parts of about ``WINDOW`` characters, cut where no piece is."""
+        at = 0
+        while len(text) - at > WINDOW:
+            cut = _CUT.search(text, at + WINDOW)
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+        if at < len(text):
+            yield text[at:]
+
+    def _pieces(self, parts: list[str], whole: list[int]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all parts (one numbered in ``whole`` is a piece), and how many each has."""
+        if self.cuts:
+            return cut_words(parts, whole)
+        ones = set(whole)
+        found = [[part] if i in ones else self.find(part) for i, part in enumerate(parts)]
+        return pa.array([piece.encode() for piece in chain.from_iterable(found)], pa.large_binary()), np.array([len(x) for x in found], dtype=np.int64)
+
+    def _encode(self, parts: list[str], owner: list[int], whole: list[int], sizes: np.ndarray) -> np.ndarray:
+        """The ids of all parts; new pieces are encoded, and the number of ids is added to ``sizes`` of each part's owner."""
+        cut, counts = self._pieces(parts, whole)
+        found = cut.dictionary_encode()
+        different, where = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        numbers = np.fromiter(map(self.numbers.__getitem__, different), dtype=np.int64, count=len(different))
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        for i in range(0, len(fresh), FLUSH):
+            some = fresh[i:i + FLUSH]
+            ids, n = self.encode(some)
             self.ids, self.sizes = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.sizes, n])
-            self.bytes += 4 * len(ids) + 200 * len(fresh) + 4 * sum(map(len, fresh))
-            self.longest = max(self.longest, max(map(len, fresh)))
-            self.numbers.fresh = []
-        per = np.array([len(x) for x in held], dtype=np.int64)
-        pieces = np.fromiter(chain.from_iterable(held), dtype=np.int64, count=int(per.sum()))
-        self.hits = np.append(self.hits, np.zeros(len(self.sizes) - len(self.hits), dtype=np.int64)) + np.bincount(pieces, minlength=len(self.sizes))
-        n = self.sizes[pieces]
-        np.add.at(sizes, np.repeat(np.array(owner, dtype=np.int64), per), n)
-        out = self.ids[gather((np.cumsum(self.sizes) - self.sizes)[pieces], n, np.cumsum(n))]
-        held.clear()
-        owner.clear()
+            self.bytes += 4 * len(ids) + 200 * len(some) + sum(map(len, some))
+            self.longest = max(self.longest, max(map(len, some)))
+        self.hits = np.append(self.hits, np.zeros(len(fresh), dtype=np.int64))
+        self.hits[numbers] += np.bincount(where, minlength=len(different))
+        starts = (np.cumsum(self.sizes) - self.sizes)[numbers]
+        n = self.sizes[numbers][where]
+        ends = np.cumsum(n)
+        out = self.ids[gather(starts[where], n, ends)]
+        np.add.at(sizes, owner, np.diff(np.append(0, ends)[np.cumsum(counts)], prepend=0))
         full = self.bytes > MEMORY // self.share
         if full or self.longest > LONG:
             self._forget(full)
@@ -161,7 +214,7 @@ class Pieces:
         self.numbers.clear()
         self.numbers.update((k, i) for i, k in enumerate(keys))
         self.longest = 0
-        self.bytes = 4 * len(self.ids) + 200 * len(keys) + 4 * sum(map(len, keys))
+        self.bytes = 4 * len(self.ids) + 200 * len(keys) + sum(map(len, keys))
 
 
 class Pairs:
@@ -228,7 +281,7 @@ class Vocabulary:
     @functools.cached_property
     def encode_batch(self) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
         # Half the memory: a task has two workers, one to encode and one to decode, and over time each of them does both.
-        return Pieces(self.pattern, lambda pieces: self.merge([piece.encode() for piece in pieces]), share=2).encode_batch
+        return Pieces(self.pattern, self.merge, share=2).encode_batch
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces, one after another, and how many each has."""

@@ -83,18 +83,21 @@ def _tokenizer(content: Broadcast, pattern: str) -> tuple[int, Pieces]:
         def special(text: str) -> bool:
             return any(token in text for token in added)
 
-        def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            return _flat([x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)])
+        def whole(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            return _flat([x.ids for x in tokenizer.encode_batch([text.decode() for text in texts], add_special_tokens=False)])
 
-        def words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        def words(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             # Matches of the tokenizer's own pattern: its model is all that is left to apply.
-            shown = [piece.encode().decode("latin-1").translate(_SHOWN) for piece in pieces]
-            return _flat([[token.id for token in tokens] for tokens in map(model.tokenize, shown)])
-
-        def mixed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            if not any(map(special, texts)):
+            ids, sizes = [], []
+            for tokens in map(model.tokenize, _shown(pieces)):
+                ids += [token.id for token in tokens]
+                sizes.append(len(tokens))
+            return np.array(ids, dtype=np.int32), np.array(sizes, dtype=np.int64)
+
+        def mixed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            if not special(_APART.join(texts).decode(errors="replace")):
                 return words(texts)
-            found = [(whole if special(text) else words)([text]) for text in texts]
+            found = [(whole if special(text.decode()) else words)([text]) for text in texts]
             return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
         model = tokenizer.model
@@ -108,16 +111,28 @@ def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(found), dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64)
 
 
-def _shown_bytes() -> dict[int, str]:
+#: A byte that no UTF-8 has.
+_APART = b"\xff"
+
+
+def _shown_bytes() -> np.ndarray:
     """Byte-level vocabularies write each byte as a character: visible ones as they are, the others from U+0100 on."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in visible]
-    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+    shown = np.arange(256, dtype="<u4")
+    shown[hidden] = 0x100 + np.arange(len(hidden))
+    shown[ord(_APART)] = ord("\n")  # a line break itself is written otherwise
+    return shown
 
 
 _SHOWN = _shown_bytes()
 
 
+def _shown(pieces: list[bytes]) -> list[str]:
+    """The pieces as a byte-level vocabulary writes them."""
+    return _SHOWN[np.frombuffer(_APART.join(pieces), dtype=np.uint8)].tobytes().decode("utf-32-le").split("\n")
+
+
 def vocabulary_size(tokenizer_file: str) -> int:
     from tokenizers import Tokenizer
 

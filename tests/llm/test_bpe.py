@@ -112,3 +112,29 @@ def test_merging_many_wide_pieces_stays_small(monkeypatch):
 def test_decoding_builds_no_pairs():
     vocabulary = Vocabulary(open(FILE, "rb").read(), P.PATTERN)
     assert bytes(vocabulary.decode_batch(bpe.np.array([5, 300]), bpe.np.array([0, 2]))[0]) and "pairs" not in vars(vocabulary)
+
+
+def test_texts_are_cut_together():
+    """Many texts at once are cut as each alone, also where a text ends in white space or an apostrophe, is empty, or is one piece."""
+    rnd, own = random.Random(9), regex.compile(P.PATTERN).findall
+    odd = "'s't're've'm'll'd 'S''r v1²٠á \t\n\r\x0b\x1c\x85\xa0᠎ 　 _-.一Ⅰ\U0001F600\U00010400"
+    many = ["", "", "a ", "b", "it'", "s", " 'r", "e", "x'l", "l", "　", " y", "", "'", "'re", "'v", "ends  "]
+    many += ["".join(rnd.choice(odd) for _ in range(rnd.randrange(8))) for _ in range(3000)] + [""]
+    pieces, counts = bpe.cut_words(many)
+    found, ends = [piece.decode() for piece in pieces.to_pylist()], bpe.np.cumsum(counts).tolist()
+    assert [found[b - n:b] for n, b in zip(counts.tolist(), ends, strict=True)] == list(map(own, many))
+    pieces, counts = bpe.cut_words(["a b", "é c d", "", "e f"], whole=[1])
+    assert pieces.to_pylist() == [b"a", b" b", "é c d".encode(), b"e", b" f"] and counts.tolist() == [2, 1, 0, 2]
+    assert bpe.cut_words(["", ""])[1].tolist() == [0, 0]
+
+
+def test_a_piece_is_looked_up_once_for_many_texts(monkeypatch):
+    """Work in Python grows with the different pieces of a window, not with all of them."""
+    asked = []
+    monkeypatch.setattr(bpe._Numbers, "__getitem__", lambda self, piece: asked.append(piece) or (
+        dict.__getitem__(self, piece) if piece in self else self.__missing__(piece)), raising=False)
+    ours, many = Vocabulary(open(FILE, "rb").read(), P.PATTERN), ["one two, one three"] * 500 + [""] + ["two one"] * 500
+    ids, at = ours.encode_batch(many)
+    assert len(asked) == len(set(asked)) == 6
+    expected = {text: library().encode_ordinary(text) for text in set(many)}
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [expected[text] for text in many]

@@ -103,3 +103,26 @@ def test_ids_are_counted_by_batch(spark, monkeypatch):
     assert id_files._packed(rows[1:3], "<u2").tolist() == [] and id_files._packed(rows[:0], "<u2").tolist() == []
     frame = spark.createDataFrame([(bytearray(b"\x01\x00\x02\x00"),), (None,), (bytearray(b""),), (bytearray(b"\x02\x00"),)], "ids binary")
     assert id_files.id_counts(frame, 4).tolist() == [0, 1, 2, 0]
+
+
+def test_texts_with_an_added_token_among_others(monkeypatch):
+    """Such a text goes to the library whole, those around it by their pieces; without one all new pieces are handed over together."""
+    class Content:
+        value = open(P.path("byte_bpe_50k.json"), "rb").read()
+
+    calls, shown = [], id_files._shown
+    monkeypatch.setattr(id_files, "_loaded", {})
+    monkeypatch.setattr(id_files, "_shown", lambda pieces: calls.append(len(pieces)) or shown(pieces))
+    own, (_, pieces) = Tokenizer.from_file(P.path("byte_bpe_50k.json")), id_files._tokenizer(Content, P.PATTERN)
+    plain = ["many different words", "é\n", "", "<|endoftext|", " a  b"]
+    for texts in (plain, ["x<|endoftext|> y", *plain, "<|endoftext|>", "new"]):
+        ids, at = pieces.encode_batch(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+        assert calls[0] > 9 and len(calls) == (1 if texts is plain else 2)
+
+
+def test_pieces_as_the_vocabulary_writes_them():
+    every = [bytes([b]) for b in range(255)] + [b"", b"\n a\n", "é漢".encode()]
+    shown = id_files._shown(every)
+    assert len(shown) == len(every) and len(set(shown[:255])) == 255 and shown[255] == ""
+    assert shown[256] == "ĊĠaĊ" and shown[ord("a")] == "a" and shown[0] == "Ā"
