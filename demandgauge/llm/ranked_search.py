@@ -5,6 +5,8 @@ terms are the rows of a grid (most frequent first, so that dense rows lie togeth
 columns, and a point is the impact of a term in a document.  The grid is cut into quadrants again and again;
 a cell with a single point is not cut further.  Cells are stored level by level: a mask of the quadrants that hold
 points, and the largest impact below.  Children follow each other, so their places are a running sum of the masks.
+Columns of a block are compressed where they are made, and blocks are written, read and handed over one by one, so memory goes by the block,
+not by how many of them a task has.
 
 Search: the terms of an item walk down together.  A range of columns holds, for each term, the cell on its
 row's path; weight times largest impact, summed, bounds the score of every document in the range.  Ranges with the largest
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandgauge.llm import words as W
-from demandgauge.llm.shared import write_once
+from demandgauge.llm.shared import arrow_rows, write_once
 
 #: Points per block; words of items per search job; ranges in the first batch.
 POSTINGS, QUERY_WORDS, BATCH = 1 << 20, 1 << 20, 64
+#: Documents handed to a worker at a time.
+_TEXTS = 1000
 _SALTS = 64
 _NO_ID = np.iinfo(np.int64).min
 _INDEX = ("columns binary, height int, terms binary, rows binary, held binary, masks binary, peaks binary, "
@@ -43,6 +47,22 @@ _INDEX = ("columns binary, height int, terms binary, rows binary, held binary, m
 _TYPES = {"columns": np.int64, "terms": np.uint64, "rows": np.uint32, "held": np.uint32, "masks": np.uint8, "peaks": np.uint32,
           "leaf_rows": np.uint32, "leaf_columns": np.uint32}
 _ONES = np.array([bin(i).count("1") for i in range(16)], dtype=np.uint8)
+#: Parquet: a block above this many bytes has row group and page to itself, and no reader needs two at once.
+_ONE_BY_ONE = {"parquet.block.size": str(1 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1",
+               "parquet.enable.dictionary": "false"}
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _packed(x: np.ndarray, name: str) -> bytes:
+    """A column of the index: its size, then its bytes, all first ones, all second ones and so on, compressed."""
+    x = np.ascontiguousarray(x, dtype=_TYPES[name])
+    return x.nbytes.to_bytes(8, "little") + _ZSTD.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T), asbytes=True)
+
+
+def _unpacked(packed: pa.Buffer, name: str) -> np.ndarray:
+    raw = _ZSTD.decompress(packed.slice(8), int.from_bytes(packed.slice(0, 8).to_pybytes(), "little"))
+    kind = np.dtype(_TYPES[name])
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 # --- terms ------------------------------------------------------------------------------------------
@@ -76,35 +96,39 @@ def _spread(x: np.ndarray) -> np.ndarray:
     """Every bit moved to the even place of its number."""
     x = x.astype(np.uint64)
     for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = (x | x << np.uint64(shift)) & np.uint64(mask)
+        x |= x << np.uint64(shift)
+        x &= np.uint64(mask)
     return x
 
 
 def build_tree(rows: np.ndarray, columns: np.ndarray, impacts: np.ndarray) -> dict[str, np.ndarray | int]:
     """The compressed quadtree of distinct points, level by level; a mask of 0 is a cell with one point."""
     height = max(1, int(max(rows.max(initial=0), columns.max(initial=0))).bit_length())
-    code = _spread(rows) << np.uint64(1) | _spread(columns)
-    order = np.argsort(code, kind="stable")
-    code, impacts = code[order], impacts[order].astype(np.uint32)
+    code = _spread(rows)
+    code <<= np.uint64(1)
+    code |= _spread(columns)
+    points = np.argsort(code, kind="stable")
+    code, impacts = code[points], impacts[points].astype(np.uint32)
     starts, sizes = np.zeros(1, dtype=np.int64), np.array([len(code)])
     masks, peaks, leaf_rows, leaf_columns = [], [], [], []
-    points = order
     for level in range(height + 1):
         peaks.append(np.maximum.reduceat(impacts, starts))
         single = sizes == 1
         at = points[starts[single]]
-        leaf_rows.append(rows[at])
-        leaf_columns.append(columns[at])
+        leaf_rows.append(rows[at].astype(np.uint32))
+        leaf_columns.append(columns[at].astype(np.uint32))
         mask = np.zeros(len(starts), dtype=np.uint8)
         if single.all():
             masks.append(mask)
             break
         stay = np.repeat(~single, sizes)
         code, impacts, points = code[stay], impacts[stay], points[stay]
-        parent = np.repeat(np.flatnonzero(~single), sizes[~single])
         inner = code >> np.uint64(2 * (height - 1 - level))
         starts = np.flatnonzero(np.concatenate([[True], inner[1:] != inner[:-1]]))
-        np.bitwise_or.at(mask, parent[starts], np.left_shift(1, (inner[starts] & np.uint64(3)).astype(np.uint8)).astype(np.uint8))
+        quadrant = (inner[starts] & np.uint64(3)).astype(np.uint8)
+        del inner
+        parent = np.flatnonzero(~single)[np.searchsorted(np.cumsum(sizes[~single]), starts, "right")]
+        np.bitwise_or.at(mask, parent, np.left_shift(1, quadrant).astype(np.uint8))
         masks.append(mask)
         sizes = np.diff(np.append(starts, len(code)))
     joined = {"masks": masks, "peaks": peaks, "leaf_rows": leaf_rows, "leaf_columns": leaf_columns}
@@ -126,25 +150,28 @@ class _Block:
         length = 100 - 25 + (25 * n.astype(np.int64) * self.n_docs) // max(1, self.n_terms)
         tf = tf.astype(np.int64)
         self.ids.append(ids)
-        self.columns.append(of + self.n_columns)
+        self.columns.append((of + self.n_columns).astype(np.uint32))
         self.terms.append(term)
-        self.impacts.append(1_000_000_000 * tf // (1000 * tf + 12 * length[of]))
+        self.impacts.append((1_000_000_000 * tf // (1000 * tf + 12 * length[of])).astype(np.uint32))
         self.n_columns += len(ids)
         self.n_points += len(of)
 
     def finish(self) -> dict:
-        terms, row_of, held = np.unique(np.concatenate(self.terms), return_inverse=True, return_counts=True)
-        row = np.empty(len(terms), dtype=np.int64)
-        row[np.argsort(-held, kind="stable")] = np.arange(len(terms))
-        tree = build_tree(row[row_of], np.concatenate(self.columns), np.concatenate(self.impacts))
-        out = {"columns": np.concatenate(self.ids), "terms": terms, "rows": row, "held": held, **tree}
+        ids, columns, terms, impacts = (np.concatenate(x) for x in (self.ids, self.columns, self.terms, self.impacts))
         self.clear()
-        return {name: x.astype(_TYPES[name]).tobytes() if name in _TYPES else x for name, x in out.items()}
+        terms, rows, held = np.unique(terms, return_inverse=True, return_counts=True)
+        row = np.empty(len(terms), dtype=np.uint32)
+        row[np.argsort(-held, kind="stable")] = np.arange(len(terms))
+        rows = row[rows]
+        out = {"columns": ids, "terms": terms, "rows": row, "held": held, **build_tree(rows, columns, impacts)}
+        return {name: _packed(x, name) if name in _TYPES else x for name, x in out.items()}
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", postings: int = POSTINGS) -> DataFrame:
     """The written index of all rows, one row per block; documents stay in the partition they are read in."""
-    n_docs, n_terms = totals(docs, text)
+    spark = docs.sparkSession
+    with arrow_rows(spark, _TEXTS):
+        n_docs, n_terms = totals(docs, text)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(n_docs, n_terms)
@@ -160,7 +187,9 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pos
 
     schema = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.binary()) for c in _INDEX.split(", ")])
     ids = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID))
-    index = write_once(docs.select(ids.alias("id"), F.col(text).alias("text")).mapInArrow(build, _INDEX), "treaps", "zstd")
+    built = docs.select(ids.alias("id"), F.col(text).alias("text")).mapInArrow(build, _INDEX)
+    with arrow_rows(spark, _TEXTS):
+        index = write_once(built, "treaps", "uncompressed", **_ONE_BY_ONE)
     return index.withColumn("n_docs", F.lit(n_docs))
 
 
@@ -173,10 +202,13 @@ class Tree:
         for name, kind in _TYPES.items():
             setattr(self, name, np.frombuffer(row[name], dtype=kind))
         self.height = row["height"]
-        ones = np.cumsum(_ONES[self.masks], dtype=np.int64)
-        self.child = 1 + ones - _ONES[self.masks]
+        ones = _ONES[self.masks]
+        self.child = np.cumsum(ones, dtype=np.uint32)
+        self.child -= ones
+        self.child += np.uint32(1)
         self.leaf = self.masks == 0
-        self.leaf_at = np.cumsum(self.leaf) - 1
+        self.leaf_at = np.cumsum(self.leaf, dtype=np.uint32)
+        self.leaf_at -= self.leaf
 
     def rows_of(self, terms: np.ndarray) -> np.ndarray:
         """The row of each term, -1 where no document has it."""
@@ -310,15 +342,17 @@ def _search_block(spark: SparkSession, index: DataFrame, asked: DataFrame, k: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(counted.value), dtype=np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                own, held = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["held"], np.uint32)
+            for row in range(batch.num_rows):
+                own, held = (_unpacked(batch.column(name)[row].as_buffer(), name) for name in ("terms", "held"))
                 at = np.minimum(np.searchsorted(own, counted.value), len(own) - 1)
                 total += np.where(own[at] == counted.value, held[at].astype(np.int64), 0)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["term", "n"])
 
     df = np.zeros(len(terms), dtype=np.int64)
-    for term, n in index.select("terms", "held").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect():
+    with arrow_rows(spark, 1):
+        counts = index.select("terms", "held").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect()
+    for term, n in counts:
         df[term] = n
     head = index.select("n_docs").head()
     n_docs = head[0] if head else 0
@@ -330,7 +364,7 @@ def _search_block(spark: SparkSession, index: DataFrame, asked: DataFrame, k: in
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (len(borders) - 1)
         for batch in batches:
             for row in range(batch.num_rows):
-                tree = Tree(batch.slice(row, 1).to_pylist()[0])
+                tree = Tree({name: _unpacked(batch.column(name)[row].as_buffer(), name) for name in _TYPES} | {"height": batch.column("height")[row].as_py()})
                 rows = tree.rows_of(terms)
                 for i, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)):
                     mine = of[a:b]
@@ -343,7 +377,9 @@ def _search_block(spark: SparkSession, index: DataFrame, asked: DataFrame, k: in
                 [pa.array(item, pa.int32()), names.take(pa.array(item)), pa.array(np.concatenate([ids for _, ids in best]), pa.int64()),
                  pa.array(np.concatenate([s for s, _ in best]), pa.int64())], ["item", "item_id", "doc_id", "score"])
 
-    near = index.drop("n_docs").mapInArrow(walk, f"item int, item_id {kind}, doc_id bigint, score bigint")
+    # Written here, as the rows of a batch are set for what runs now.
+    with arrow_rows(spark, 1):
+        near = write_once(index.drop("n_docs").mapInArrow(walk, f"item int, item_id {kind}, doc_id bigint, score bigint"), "near")
     order = [F.desc("score"), F.asc("doc_id")]
     for keys in (["item", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))], ["item"]):
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)

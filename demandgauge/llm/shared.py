@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +13,25 @@ from pyspark.sql import functions as F
 from demandgauge.session import working_folder
 
 
-def write_once(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def write_once(df: DataFrame, label: str, compression: str = "snappy", **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there: no recomputation, lineage cut, sizes known to Spark."""
     path = os.path.join(working_folder(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs inside hands Python workers at most ``most`` rows at a time; a plan that runs later is not affected."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

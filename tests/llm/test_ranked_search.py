@@ -3,10 +3,13 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,61 @@ def test_query(spark):
     got = op11_ranked_search(spark, FOLDER)
     assert got.columns == ["item_id", "rank", "doc_id", "score"]
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLE["op11_ranked_search"]).fetchall())
+
+
+def test_blocks_are_written_one_by_one(spark):
+    """A reader of a large block need not hold the next one."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(1200))) for i in range(600)]
+    index = R.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), postings=150_000)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert len(groups) >= 3 and set(groups) == {1}
+
+
+def test_workers_get_one_block_and_few_texts_at_a_time(spark, monkeypatch):
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(name)
+    write_once = R.write_once
+    monkeypatch.setattr(R, "write_once", lambda df, label, *x, **y: rows.update({label: int(spark.conf.get(name))}) or write_once(df, label, *x, **y))
+    docs = [(i, f"w{i % 7} all") for i in range(50)]
+    assert len(ranked(spark, docs, [("q", "w1 w2")], postings=3)) == 14
+    assert rows["treaps"] <= 1000 and rows["near"] == 1
+    assert spark.conf.get(name) == before
+
+
+def test_failing_work_leaves_rows_of_a_batch_as_set(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), R.arrow_rows(spark, 3):
+        assert spark.conf.get(name) == "3"
+        spark.range(10).count() / 0
+    assert spark.conf.get(name) == before
+
+
+def test_memory_of_a_block():
+    """Bytes for each point, beside the block's own: while its tree is made, and of the tree when searched."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    block = R._Block(500, 500 * 600)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.zipf(1.3, 600) % 10**6) for _ in range(500)])
+    block.add(np.arange(500), texts)
+    points = block.n_points
+    tracemalloc.start()
+    try:
+        row = block.finish()
+        assert tracemalloc.get_traced_memory()[1] < 90 * points
+        columns = {name: R._unpacked(pa.py_buffer(row[name]), name) for name in R._TYPES}
+        tracemalloc.reset_peak()
+        was = tracemalloc.get_traced_memory()[0]
+        tree = R.Tree(columns | {"height": row["height"]})
+        assert len(tree.masks) and tracemalloc.get_traced_memory()[0] - was < 20 * points
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("name", ["columns", "rows", "masks"])
+def test_packed_columns_come_back(name):
+    kind = np.dtype(R._TYPES[name])
+    for x in (np.arange(1000), np.zeros(1), np.array([np.iinfo(kind).min, np.iinfo(kind).max])):
+        back = R._unpacked(pa.py_buffer(R._packed(x.astype(kind), name)), name)
+        assert back.dtype == kind and back.tolist() == x.astype(kind).tolist()
